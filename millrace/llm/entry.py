@@ -17,6 +17,12 @@ def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_hamming_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.hamming_join import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), n=2)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.rff_quality import classify
 
@@ -24,7 +30,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe_tree, op9_quality_classifier)}
+    return {f.__name__: f for f in (op4_bpe_tree, op7_hamming_near_duplicates, op9_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
