@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.common import documents, table
 
 
+def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.outliers import robust_outliers
+
+    return robust_outliers(documents(spark, sf_dir))
+
+
 def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,7 +36,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe_tree, op7_hamming_near_duplicates, op9_quality_classifier)}
+    return {f.__name__: f for f in (op1_robust_outliers, op4_bpe_tree, op7_hamming_near_duplicates, op9_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
