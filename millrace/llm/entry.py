@@ -23,6 +23,13 @@ def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.line_winnow import drop_repeated_lines
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return drop_repeated_lines(docs)
+
+
 def op7_hamming_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.hamming_join import near_duplicates
 
@@ -35,8 +42,14 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op10_disclosure_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.disclosure import sanitise
+
+    return sanitise(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_robust_outliers, op4_bpe_tree, op7_hamming_near_duplicates, op9_quality_classifier)}
+    return {f.__name__: f for f in (op1_robust_outliers, op4_bpe_tree, op5_line_winnowing, op7_hamming_near_duplicates, op9_quality_classifier, op10_disclosure_sanitisation)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,9 +11,9 @@ errors, so keys that enumerate which positions of a chunk are in error find ever
 pair within DISTANCE. Keys with one member are dropped. Then
 
 1. each member of a key is compared with the key's smallest member, on full sets;
-2. keys whose members are still in different components are gathered to clusters,
-   and within a cluster all pairs from different components are compared on full
-   sets, block by block, so that no pair is emitted but the links found.
+2. in keys whose members are still in different components, all pairs from different
+   components are compared block by block, by signature and then on full sets, so
+   that no pair is emitted but the links found.
 
 Every pair of a key is thus either compared, or already in one component. Nothing is
 capped or sampled.
@@ -39,8 +39,10 @@ from millrace.llm.common import Scratch, session_of
 from millrace.llm.components import components
 
 POSITIONS, CHUNKS, DISTANCE, SEED = 64, 13, 25, 11
-#: Documents and shingles of a block of a cluster.
-BLOCK_DOCS, BLOCK_SHINGLES = 128, 400_000
+#: Low bits of a key that tell its place in the index.
+SLOT_BITS = 12
+#: Most documents and shingles of a block, on average.
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 400_000
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -118,6 +120,7 @@ def key_rows(classes: DataFrame, positions: int, chunks: int, distance: int) ->
                 for c in cols:
                     key = (key ^ (key >> np.uint64(29))) * _STEP + sig[:, c]
                 key = (key ^ (key >> np.uint64(32))) * _MIX
+                key = (key << np.uint64(SLOT_BITS)) | np.uint64(i)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rep)], names=["key", "rep"])
 
     return classes.select("rep", "sig").mapInArrow(run, "key long, rep long")
@@ -165,49 +168,68 @@ def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     size = np.array([len(s) for s in [*x, *y]])
     row = np.repeat(np.arange(len(size)), size)
     shared = np.zeros((len(x), len(y)), np.float32)
-    for start in range(0, len(every), 16384):
-        inside = (place >= start) & (place < start + 16384)
-        dense = np.zeros((len(size), min(16384, len(every) - start)), np.float32)
+    for start in range(0, len(every), 4096):
+        inside = (place >= start) & (place < start + 4096)
+        dense = np.zeros((len(size), min(4096, len(every) - start)), np.float32)
         dense[row[inside], place[inside] - start] = 1
         shared += dense[: len(x)] @ dense[len(x) :].T
     return shared
 
 
-def _complete(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Links between different components within clusters; members: cluster, rep, comp.
+def _complete(members: DataFrame, sets: DataFrame, index: list[list[int]], distance: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links between different components within keys; members: key, rep, comp, n_shingles, sig.
 
-    The largest component of a cluster needs no comparison with itself, so its blocks
-    meet only the blocks of the rest.
+    Members are dealt to blocks. The largest component of a key needs no comparison
+    with itself, so its blocks meet only the blocks of the rest. Signatures first
+    show which members have a partner in the other block that is near enough and
+    shares no earlier key; only their full sets are fetched and compared.
     """
-    sized = scratch.keep(members.join(sets.select("rep", F.size("grams").alias("n")), "rep"), "sized")
-    comps = sized.groupBy("cluster", "comp").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
-    largest = comps.groupBy("cluster").agg(F.max(F.struct("docs", "comp"))["comp"].alias("main"))
-    tagged = sized.join(largest, "cluster").withColumn("rest", F.col("comp") != F.col("main"))
-    blocks = tagged.groupBy("cluster", "rest").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    count = blocks.groupBy("cluster").agg(F.coalesce(F.max(F.when(F.col("rest"), F.col("blocks"))), F.lit(0)).alias("nr"), F.coalesce(F.max(F.when(~F.col("rest"), F.col("blocks"))), F.lit(0)).alias("nm"))
-    placed = tagged.join(count, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("rest"), F.col("nr")).otherwise(F.col("nm"))).cast("int"))
-    # Left: a block of the rest, sent to all blocks of the main component and to itself and later blocks of the rest.
-    left = placed.filter("rest").select("cluster", "rep", "comp", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") + F.col("nm") - 1)).alias("j")).filter("j >= i")
-    right_main = placed.filter("not rest").select("cluster", "rep", "comp", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("i"), (F.col("block") + F.col("nr")).alias("j"))
-    right_rest = placed.filter("rest").select("cluster", "rep", "comp", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"))
-    sides = left.withColumn("side", F.lit(0)).unionByName(right_main.unionByName(right_rest).withColumn("side", F.lit(1)))
-
-    def run(table: pa.Table) -> pa.Table:
+    largest = members.groupBy("key", "comp").agg(F.count("*").alias("docs")).groupBy("key").agg(F.max(F.struct("docs", "comp"))["comp"].alias("main"))
+    tagged = scratch.keep(members.join(largest, "key").withColumn("rest", F.col("comp") != F.col("main")).drop("main"), "tagged")
+    size = lambda part: F.greatest(F.ceil(F.count(F.when(part, 1)) / BLOCK_DOCS), F.ceil(F.coalesce(F.sum(F.when(part, F.col("n_shingles"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+    blocks = tagged.groupBy("key").agg(size(F.col("rest")).alias("nr"), size(~F.col("rest")).alias("nm"))
+    placed = tagged.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("rest"), F.col("nr")).otherwise(F.col("nm"))).cast("int"))
+    # A block of the rest goes to all blocks of the main component, and with each other block of the rest to one place.
+    rest, last = F.col("rest"), F.col("nr") + F.col("nm") - 1
+    as_left = F.transform(F.sequence("block", last), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    as_right = F.transform(F.sequence(F.lit(0), F.when(rest, F.col("block")).otherwise(F.col("nr") - 1)), lambda i: F.struct(i.alias("i"), F.when(rest, F.col("block")).otherwise(F.col("block") + F.col("nr")).alias("j"), F.lit(1).alias("side")))
+    sides = placed.select("key", "rep", "comp", "n_shingles", "sig", F.explode(F.when(rest, F.concat(as_left, as_right)).otherwise(as_right)).alias("at"))
+    sides = sides.select("key", "rep", "comp", "n_shingles", "sig", "at.i", "at.j", "at.side")
+
+    def near(table: pa.Table) -> pa.Table:
+        side, comp, n = (table.column(c).to_numpy() for c in ("side", "comp", "n_shingles"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(side), -1)
+        l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        active = np.zeros(len(side), bool)
+        earlier = index[: int(table.column("key")[0].as_py()) & ((1 << SLOT_BITS) - 1)] if table.num_rows else []
+        for start in range(0, len(l), 64):
+            part = l[start : start + 64]
+            same = sig[part][:, None, :] == sig[r][None, :, :]
+            ok = (same.shape[2] - same.sum(2) <= distance) & (comp[part][:, None] != comp[r][None, :])
+            ok &= np.minimum(n[part][:, None], n[r][None, :]) * 100 >= np.maximum(n[part][:, None], n[r][None, :]) * percent
+            i, j = np.nonzero(ok)
+            agree, new = same[i, j], np.ones(len(i), bool)
+            for columns in earlier:
+                new &= ~agree[:, columns].all(1)
+            active[part[i[new]]] = True
+            active[r[j[new]]] = True
+        return table.filter(pa.array(active)).select(["key", "i", "j", "side", "rep", "comp"])
+
+    def compare(table: pa.Table) -> pa.Table:
         side, comp, rep = (table.column(c).to_numpy() for c in ("side", "comp", "rep"))
-        grams = [np.asarray(g.values) for g in table.column("grams").combine_chunks()] if table.num_rows else []
+        grams = [np.asarray(g.values) for g in table.column("grams").combine_chunks()]
         l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out_a, out_b = np.empty(0, np.int64), np.empty(0, np.int64)
+        links: dict[tuple[int, int], tuple[int, int]] = {}  # one link for each pair of components is enough
         if len(l) and len(r):
             x, y = [grams[i] for i in l], [grams[i] for i in r]
             both = _overlaps(x, y)
             size = np.array([len(g) for g in x])[:, None] + np.array([len(g) for g in y])[None, :] - both
-            i, j = np.nonzero((both * 100 >= size * percent) & (comp[l][:, None] != comp[r][None, :]))
-            # One link for each pair of components is enough.
-            pairs = np.unique(np.stack([comp[l][i], comp[r][j]], 1), axis=0, return_index=True)[1] if len(i) else []
-            out_a, out_b = rep[l][i[pairs]] if len(i) else out_a, rep[r][j[pairs]] if len(i) else out_b
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+            for i, j in zip(*np.nonzero((both * 100 >= size * percent) & (comp[l][:, None] != comp[r][None, :])), strict=True):
+                links.setdefault((comp[l[i]], comp[r[j]]), (rep[l[i]], rep[r[j]]))
+        return pa.table({"a": pa.array([a for a, _ in links.values()], pa.int64()), "b": pa.array([b for _, b in links.values()], pa.int64())})
 
-    return sides.join(sets, "rep").groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+    active = sides.groupBy("key", "i", "j").applyInArrow(near, "key long, i int, j int, side int, rep long, comp long")
+    return active.join(sets, "rep").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(
@@ -236,15 +258,13 @@ def near_duplicates(
     links = scratch.keep(_linked(pairs, sets, percent).union(twice), "links")
     labels = components(links, scratch)
 
-    # Keys whose members are not yet in one component.
+    # Keys whose members are not yet in one component; of two members, one is the hub, and they have been compared.
     comp = F.coalesce("label", "rep").alias("comp")
-    placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "hub", comp)
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-    open_rows = scratch.keep(placed.join(mixed, "key", "left_semi").select("rep", "hub", "comp").distinct(), "open")
+    placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", comp)
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low < high and n > 2").select("key")
+    still = placed.join(mixed, "key", "left_semi").join(classes.select("rep", "n_shingles", "sig"), "rep")
+    more = scratch.keep(_complete(still, sets, chunk_keys(positions, chunks, distance), distance, percent, scratch), "more")
     scratch.drop(members)
-    clusters = components(open_rows.select(F.col("rep").alias("a"), F.col("hub").alias("b")), scratch)
-    rows = open_rows.select("rep", "comp").distinct().join(clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster")), "rep").select("cluster", "rep", "comp")
-    more = scratch.keep(_complete(rows, sets, percent, scratch), "more")
     final = components(links.union(more), scratch)
     scratch.drop(sets)
 
