@@ -15,6 +15,12 @@ def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_outliers(documents(spark, sf_dir))
 
 
+def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.mixing import mixture
+
+    return mixture(documents(spark, sf_dir))
+
+
 def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,6 +36,12 @@ def op5_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(docs)
 
 
+def op6_media_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.media_archive import media_columns
+
+    return media_columns(documents(spark, sf_dir))
+
+
 def op7_hamming_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.hamming_join import near_duplicates
 
@@ -49,7 +61,7 @@ def op10_disclosure_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_robust_outliers, op4_bpe_tree, op5_line_winnowing, op7_hamming_near_duplicates, op9_quality_classifier, op10_disclosure_sanitisation)}
+    return {f.__name__: f for f in (op1_robust_outliers, op2_temperature_mixing, op4_bpe_tree, op5_line_winnowing, op6_media_archives, op7_hamming_near_duplicates, op9_quality_classifier, op10_disclosure_sanitisation)}
 
 
 def oracle_sql() -> dict[str, str]:
