@@ -48,6 +48,14 @@ def op7_hamming_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), n=2)
 
 
+def op8_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from millrace.llm.lattice_lm import lattice_scores
+
+    return lattice_scores(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.rff_quality import classify
 
@@ -61,7 +69,7 @@ def op10_disclosure_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_robust_outliers, op2_temperature_mixing, op4_bpe_tree, op5_line_winnowing, op6_media_archives, op7_hamming_near_duplicates, op9_quality_classifier, op10_disclosure_sanitisation)}
+    return {f.__name__: f for f in (op1_robust_outliers, op2_temperature_mixing, op4_bpe_tree, op5_line_winnowing, op6_media_archives, op7_hamming_near_duplicates, op8_lattice_likelihood, op9_quality_classifier, op10_disclosure_sanitisation)}
 
 
 def oracle_sql() -> dict[str, str]:
