@@ -21,6 +21,15 @@ def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(documents(spark, sf_dir))
 
 
+def op3_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from millrace.llm.secret_forest import labelled_examples, scan
+
+    findings = spark.createDataFrame(labelled_examples(), "candidate string, before string, after string, path string, label int")
+    return scan(documents(spark, sf_dir), findings, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,7 +78,7 @@ def op10_disclosure_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_robust_outliers, op2_temperature_mixing, op4_bpe_tree, op5_line_winnowing, op6_media_archives, op7_hamming_near_duplicates, op8_lattice_likelihood, op9_quality_classifier, op10_disclosure_sanitisation)}
+    return {f.__name__: f for f in (op1_robust_outliers, op2_temperature_mixing, op3_secret_forest, op4_bpe_tree, op5_line_winnowing, op6_media_archives, op7_hamming_near_duplicates, op8_lattice_likelihood, op9_quality_classifier, op10_disclosure_sanitisation)}
 
 
 def oracle_sql() -> dict[str, str]:

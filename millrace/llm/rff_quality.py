@@ -125,6 +125,19 @@ def fit(train: DataFrame) -> Model:
     return model
 
 
+def learn(stats: DataFrame, labels: DataFrame, scratch: Scratch, *, id_col: str, label_col: str, folds: int, held_fold: int, max_train: int) -> Model:
+    """The model fitted on the labelled rows of stats outside the held fold; a quarter of them, one fold, calibrates it."""
+    fold = crc_mod(F.col(id_col), folds)
+    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
+    known = known.filter(fold != held_fold)
+    order = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
+    share = min(1.0, max_train / max(1, known.count()))
+    known = known.filter(order < int(share * (1 << 30)))
+    calibrate = fold == (held_fold + folds - 1) % folds
+    train = stats.select(id_col, "stats").join(known, id_col).dropDuplicates([id_col]).select("stats", "label", F.when(calibrate, "calibrate").otherwise("fit").alias("part"))
+    return fit(scratch.keep(train.coalesce(FIT_PARTITIONS), "train"))
+
+
 def classify(
     df: DataFrame,
     labels: DataFrame,
@@ -143,21 +156,40 @@ def classify(
     """
     scratch = Scratch(session_of(df), "quality")
     stats = scratch.keep(statistics(df, id_col, text_col), "stats")
-    fold = crc_mod(F.col(id_col), folds)
-    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
-    known = known.filter(fold != held_fold)
-    order = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
-    share = min(1.0, max_train / max(1, known.count()))
-    known = known.filter(order < int(share * (1 << 30)))
-    calibrate = fold == (held_fold + folds - 1) % folds
-    train = stats.dropDuplicates([id_col]).join(known, id_col).select("stats", "label", F.when(calibrate, "calibrate").otherwise("fit").alias("part"))
-    model = fit(scratch.keep(train.coalesce(FIT_PARTITIONS), "train"))
+    model = learn(stats, labels, scratch, id_col=id_col, label_col=label_col, folds=folds, held_fold=held_fold, max_train=max_train)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(1)
-            x = values.flatten().to_numpy().reshape(-1, N_STATS)
+            x = batch.column(1).flatten().to_numpy().reshape(-1, N_STATS)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x) if len(x) else [], pa.float64())], names=[id_col, "score"])
 
     scored = stats.mapInArrow(run, f"`{id_col}` {dict(df.dtypes)[id_col]}, score double")
-    return scored.select(id_col, (fold == held_fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    held_out = crc_mod(F.col(id_col), folds) == held_fold
+    return scored.select(id_col, held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(
+    df: DataFrame,
+    labels: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    folds: int = 5,
+    held_fold: int = 0,
+    threshold: float = 0.3,
+    max_train: int = MAX_TRAIN,
+) -> DataFrame:
+    """The rows of df that classify() predicts 1 for, with all their columns; each text is scored where it is, so none is shuffled."""
+    scratch = Scratch(session_of(df), "quality")
+    stats = scratch.keep(statistics(df, id_col, text_col), "stats")
+    model = learn(stats, labels, scratch, id_col=id_col, label_col=label_col, folds=folds, held_fold=held_fold, max_train=max_train)
+    scratch.drop(stats)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([quality_vector(counts(t.as_py())) for t in batch.column(at)]).reshape(-1, N_STATS)
+            yield batch.filter(pa.array(model.score(x) >= threshold, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
