@@ -107,7 +107,7 @@ class Forest:
     @staticmethod
     def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> Forest:
         share = float(y.mean()) if len(y) else 0.5
-        if not 0 < share < 1:
+        if not len(y) or not 0 < share < 1:
             return Forest([], share)
         draw = np.random.default_rng(seed)
         return Forest([_tree(x, y, draw.integers(0, len(y), len(y)), depth, draw) for _ in range(trees)], share)
