@@ -56,7 +56,9 @@ def _to_int(c: Column, kind: T.DataType) -> Checked:
 
 def _to_float(c: Column, kind: T.DataType) -> Checked:
     if isinstance(kind, T.StringType):
-        return Checked(F.when(c.rlike(FLOAT), _strip(c).try_cast("double")), F.when(~c.rlike(FLOAT), "float_parsing"), c.rlike(UNSURE_NUMBER))
+        low = F.lower(_strip(c))
+        named = F.when(low.rlike(r"^[+-]?nan$"), F.lit(float("nan"))).when(low.rlike(r"^[+]?inf(inity)?$"), F.lit(float("inf"))).when(low.rlike(r"^-inf(inity)?$"), F.lit(float("-inf")))
+        return Checked(F.when(c.rlike(FLOAT), F.coalesce(named, low.try_cast("double"))), F.when(~c.rlike(FLOAT), "float_parsing"), c.rlike(UNSURE_NUMBER))
     if isinstance(kind, INTEGERS + FLOATS + (T.BooleanType, T.DecimalType)):
         return Checked(c.cast("double"), F.lit(None).cast("string"), F.lit(False))
     return Checked(F.lit(None).cast("double"), F.lit("float_type"), F.lit(False))

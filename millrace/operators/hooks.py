@@ -92,9 +92,9 @@ def _run_batches(df: DataFrame, hooks: list[BatchHook], route_errors: bool) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            entries = [{NAMES[c]: row[c] for c in columns} for row in batch.to_pylist()]
+            entries = [{NAMES[c]: row[c] for c in columns} for row in batch.to_pylist(maps_as_pydicts="strict")]
             for e in entries:
-                e["metadata"] = dict(e["metadata"] or [])
+                e["metadata"] = e["metadata"] or {}
                 e["errors"] = e["errors"] or []
                 if e.get("validated_data", 0) is None:
                     del e["validated_data"]
@@ -109,8 +109,6 @@ def _run_batches(df: DataFrame, hooks: list[BatchHook], route_errors: bool) -> D
                         x["status"] = Status.FAILED.value
                         x["errors"].append({"msg": str(e), "type": "hook_error", "loc": [type(hook).__name__]})
             rows = [{c: _plain(e.get(NAMES[c])) for c in columns} for e in entries]
-            for r in rows:
-                r[META] = list((r[META] or {}).items())
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return df.mapInArrow(run, schema)

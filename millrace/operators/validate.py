@@ -237,11 +237,14 @@ class Validator:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             adapter = TypeAdapter(model)
             for batch in batches:
-                rows = batch.to_pylist()
+                rows = batch.to_pylist(maps_as_pydicts="strict")
                 for row in rows:
                     try:
                         row[VALID] = _dumped(adapter.validate_python(row[RAW]).model_dump(mode="python"))
                         row[STATUS] = Status.VALIDATED.value
+                    except OverflowError as e:  # the model takes integers of any size, a column those of 64 bits
+                        row[VALID], row[STATUS] = None, Status.FAILED.value
+                        row[ERR] = [*(row[ERR] or []), {"msg": str(e), "type": "int_out_of_range", "loc": []}]
                     except ValidationError as e:
                         row[VALID], row[STATUS] = None, Status.FAILED.value
                         row[ERR] = [*(row[ERR] or []), *({"msg": x["msg"], "type": x["type"], "loc": [str(p) for p in x["loc"]]} for x in e.errors())]
@@ -251,6 +254,8 @@ class Validator:
 
 
 def _dumped(value):
+    if isinstance(value, int) and not -(1 << 63) <= value < 1 << 63:
+        raise OverflowError("Input should be an integer of 64 bits")
     if isinstance(value, enum.Enum):
         return value.value
     if isinstance(value, dict):
