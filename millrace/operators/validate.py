@@ -160,10 +160,17 @@ class Validator:
             return None
         return list(self.model.model_fields)
 
-    def apply(self, df: DataFrame) -> DataFrame:
+    def apply(self, df: DataFrame, *, once: bool = False) -> DataFrame:
+        """df with validated data, status and errors.
+
+        once: rows are computed a single time, for plans whose rows may come out differently
+        when they are computed again; they all pass through Arrow then if any may be unsure.
+        """
         if not self.native:
             return self._by_model(df)
         checked = self._by_columns(df)
+        if once and self._may_be_unsure(df):
+            return self._by_model(checked, only="__unsure")
         sure = checked.filter(~F.col("__unsure")).drop("__unsure")
         if not self._may_be_unsure(df):
             return sure
@@ -226,11 +233,12 @@ class Validator:
         nan = F.isnan(value) if target is float else F.lit(False)
         return nan | ~{"ge": value >= limit, "gt": value > limit, "le": value <= limit, "lt": value < limit}[check]
 
-    def _by_model(self, df: DataFrame) -> DataFrame:
+    def _by_model(self, df: DataFrame, only: str | None = None) -> DataFrame:
+        """only: a column that says which rows the model itself is to read; the others keep what they have."""
         from pyspark.sql.pandas.types import to_arrow_schema
 
         model = self.model
-        kept = [f for f in df.schema.fields if f.name != VALID]
+        kept = [f for f in df.schema.fields if f.name not in (VALID, only)]
         schema = T.StructType([*kept, T.StructField(VALID, self.schema)])
         arrow = to_arrow_schema(schema)
 
@@ -239,6 +247,10 @@ class Validator:
             for batch in batches:
                 rows = batch.to_pylist(maps_as_pydicts="strict")
                 for row in rows:
+                    if only is not None:
+                        if not row[only]:
+                            continue
+                        row[ERR] = []
                     try:
                         row[VALID] = _dumped(adapter.validate_python(row[RAW]).model_dump(mode="python"))
                         row[STATUS] = Status.VALIDATED.value
@@ -250,7 +262,7 @@ class Validator:
                         row[ERR] = [*(row[ERR] or []), *({"msg": x["msg"], "type": x["type"], "loc": [str(p) for p in x["loc"]]} for x in e.errors())]
                 yield pa.RecordBatch.from_pylist([{f.name: r[f.name] for f in schema.fields} for r in rows], schema=arrow)
 
-        return df.select([f.name for f in kept]).mapInArrow(run, schema)
+        return df.select([*(f.name for f in kept), *([VALID, only] if only else [])]).mapInArrow(run, schema)
 
 
 def _dumped(value):

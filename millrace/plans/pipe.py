@@ -65,7 +65,7 @@ class Pipe:
         route = self.on_hook_error == "route"
         df = enveloped(self.source.frame(self.session()) if raw is None else raw, generate_ids=self.generate_ids, positions=self.positions)
         df = apply_hooks(df, self.pre_hooks, route_errors=route)
-        df = self.validator.apply(df) if self.validator else df
+        df = self.validator.apply(df, once=bool(self.pre_hooks)) if self.validator else df
         df = apply_hooks(df, self.post_hooks, route_errors=route)
         return df.orderBy("_position") if self.order_by_position else df
 
