@@ -25,8 +25,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -172,9 +174,10 @@ def encode_decode(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = False,
+    with_decoded: bool = False,
     leaf_chars: int = LEAF_CHARS,
 ) -> DataFrame:
-    """Per row of df: id, n_tokens, ids_sha256, decoded_sha256, and with_ids the ids and decoded text themselves.
+    """Per row of df: id, n_tokens, ids_sha256, decoded_sha256, and on request the ids and the decoded text themselves.
 
     ranks_path: a rank file that every executor can read, a parameter; it is never
     copied. A null text counts as empty. Repeated rows give repeated results;
@@ -186,7 +189,8 @@ def encode_decode(
         for batch in batches:
             codec = codec or TreeCodec(load_ranks(ranks_path), pattern, leaf_chars)
             name = codec.names.__getitem__
-            counts, ids_hash, bytes_hash, all_ids, all_texts = [], [], [], [], []
+            counts, ids_hash, bytes_hash, all_texts = [], [], [], []
+            flat = array("i")  # four bytes an id
             for text in batch.column(1):
                 ids = codec.encode(text.as_py() or "")
                 data = codec.decode(ids)
@@ -194,15 +198,20 @@ def encode_decode(
                 ids_hash.append(hashlib.sha256(",".join(map(name, ids)).encode()).hexdigest())
                 bytes_hash.append(hashlib.sha256(data).hexdigest())
                 if with_ids:
-                    all_ids.append(ids)
+                    flat.extend(ids)
+                if with_decoded:
                     all_texts.append(data.decode("utf-8", "replace"))
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(bytes_hash, pa.string())]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_texts, pa.string())]
-                names += ["ids", "decoded"]
+                ends = np.cumsum([0, *counts])
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32())))
+                names.append("ids")
+            if with_decoded:
+                columns.append(pa.array(all_texts, pa.string()))
+                names.append("decoded")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = dict(df.dtypes)[id_col]
-    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
+    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "") + (", decoded string" if with_decoded else "")
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, schema)

@@ -81,5 +81,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_robust_outliers, op2_temperature_mixing, op3_secret_forest, op4_bpe_tree, op5_line_winnowing, op6_media_archives, op7_hamming_near_duplicates, op8_lattice_likelihood, op9_quality_classifier, op10_disclosure_sanitisation)}
 
 
+#: All pairs that share a shingle, and what is reachable over the links.
+NEAR_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d WHERE len(w) > 1) UNION ALL SELECT doc_id, w[1] FROM d WHERE len(w) = 1
+), s AS (
+  SELECT doc_id, count(g) AS n FROM documents LEFT JOIN g USING (doc_id) GROUP BY doc_id
+), x AS (
+  SELECT doc_id, n, g FROM g JOIN s USING (doc_id)
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+), e AS (
+  SELECT a, b FROM p WHERE 100 * c >= 80 * (na + nb - c)
+), both_ways AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r AS (
+  SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, both_ways.b FROM r JOIN both_ways ON r.other = both_ways.a
+), c AS (
+  SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id
+)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_hamming_near_duplicates": NEAR_SQL}
