@@ -383,7 +383,7 @@ def csv_parts_merge(spark, sf_dir):
 @query("""SELECT 0 AS pipe, count(*) AS total, count(*) AS success, 0 AS error FROM nation
 UNION ALL SELECT 1, count(*), count(*), 0 FROM region
 UNION ALL SELECT 2, count(*), count(*) FILTER (value = floor(value) AND event_type <> 'error'), count(*) FILTER (NOT (value = floor(value) AND event_type <> 'error')) FROM events
-UNION ALL SELECT 3, sum(t), sum(s), sum(t - s) FROM (SELECT count(*) AS t, count(*) AS s FROM nation UNION ALL SELECT count(*), count(*) FROM region
+UNION ALL SELECT 3, CAST(sum(t) AS BIGINT), CAST(sum(s) AS BIGINT), CAST(sum(t - s) AS BIGINT) FROM (SELECT count(*) AS t, count(*) AS s FROM nation UNION ALL SELECT count(*), count(*) FROM region
 UNION ALL SELECT count(*), count(*) FILTER (value = floor(value) AND event_type <> 'error') FROM events)""")
 def many_pipes_report(spark, sf_dir):
     at = workspace(spark)
