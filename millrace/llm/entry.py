@@ -106,5 +106,35 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM
 """
 
 
+#: All windows of whole lines, without fingerprints; the first place of each stays.
+LINES_SQL = r"""
+WITH l AS (
+  SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL
+), n AS (
+  SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM l
+), w AS (
+  SELECT doc_id, k, ls[k] AS line, len(regexp_extract_all(ls[k], '[^\x20\x09-\x0D]+')) AS c FROM n
+), s AS (
+  SELECT doc_id, k, c, sum(c) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM w
+), win AS (
+  SELECT a.doc_id, a.k AS i, min(b.k) AS j FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto - a.upto + a.c >= 50 WHERE a.c > 0 GROUP BY a.doc_id, a.k
+), f AS (
+  SELECT doc_id, i, j, row_number() OVER (PARTITION BY list_slice(ls, i, j) ORDER BY doc_id, i) AS place FROM win JOIN l USING (doc_id)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS k FROM f WHERE place > 1
+), runs AS (
+  SELECT doc_id, min(k) - 1 AS a, max(k) AS b FROM (SELECT doc_id, k, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM gone) GROUP BY doc_id, run
+), removed AS (
+  SELECT doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS removed FROM runs GROUP BY doc_id
+), kept AS (
+  SELECT w.doc_id, count(*) AS n_lines, count(gone.k) AS n_removed, string_agg(line, chr(10) ORDER BY w.k) FILTER (gone.k IS NULL) AS text, sum(c) FILTER (gone.k IS NULL) AS words
+  FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id AND w.k = gone.k GROUP BY w.doc_id
+)
+SELECT doc_id, CASE WHEN n_removed > 0 AND coalesce(words, 0) = 0 THEN '' ELSE kept.text END AS text,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
+FROM (SELECT doc_id FROM documents) LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_hamming_near_duplicates": NEAR_SQL}
+    return {"op5_line_winnowing": LINES_SQL, "op7_hamming_near_duplicates": NEAR_SQL}

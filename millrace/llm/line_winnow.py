@@ -43,7 +43,7 @@ def windows(text: str, min_words: int) -> list[tuple[int, int, bytes, tuple[int,
     """(first line, lines, hash of the run, fingerprint: hash and negative place of the least line) for every window of the text."""
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
     words = [len(x.split()) for x in lines]
-    hashes = [xxhash.xxh3_64_intdigest(x.rstrip(b"\r")) for x in lines]
+    hashes = list(map(xxhash.xxh3_64_intdigest, lines))
     out, end, held = [], 0, 0
     for start in range(len(lines)):
         while end < len(lines) and held < min_words:
