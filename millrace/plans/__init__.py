@@ -1,7 +1,7 @@
 """Pipes, their managers and coordinators."""
 
-from millrace.plans.coordinators import CompositeCoordinator, Coordinator, DeltaCoordinator, MergeCoordinator, ShardingCoordinator
+from millrace.plans.coordinators import CompositeCoordinator, Coordinator, DeltaCoordinator, IcebergCoordinator, MergeCoordinator, ShardingCoordinator
 from millrace.plans.manager import PipeManager
 from millrace.plans.pipe import Pipe
 
-__all__ = ["CompositeCoordinator", "Coordinator", "DeltaCoordinator", "MergeCoordinator", "Pipe", "PipeManager", "ShardingCoordinator"]
+__all__ = ["CompositeCoordinator", "Coordinator", "DeltaCoordinator", "IcebergCoordinator", "MergeCoordinator", "Pipe", "PipeManager", "ShardingCoordinator"]

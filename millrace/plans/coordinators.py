@@ -7,7 +7,7 @@ import os
 import shutil
 
 from millrace.model import WorkerResult
-from millrace.sinks.base import Sink, hadoop, local
+from millrace.sinks.base import Sink, local
 from millrace.sources.base import Source
 
 FIRST, NORMAL, LAST = 0, 50, 100
@@ -161,5 +161,14 @@ class DeltaCoordinator(Coordinator):
             commit(local(self.table_uri), adds, self.schema if self.schema is not None else staged[0]["schema"])
 
 
-def exists(df, path: str) -> bool:
-    return hadoop(df, path).exists(df.sparkSession._jvm.org.apache.hadoop.fs.Path(path))
+class IcebergCoordinator(Coordinator):
+    """Keeps the parts of a table in one place. With the connector each write is a commit of its own; without it, there are
+    no snapshots to commit, and files count once they are in the data folder."""
+
+    priority = FIRST
+
+    def __init__(self, table_location: str):
+        self.table_location = table_location
+
+    def prepare_shards(self, part, workers: int) -> list:
+        return [part] * workers if isinstance(part, Sink) else []

@@ -38,7 +38,7 @@ class PipeManager:
         for source, sink, error in zip(sources, sinks, errors, strict=True):
             part = Pipe(
                 source, sink, error, pipe.model, pipe.pre_hooks, pipe.post_hooks, generate_ids=pipe.generate_ids, positions=pipe.positions, include_errors=pipe.include_errors,
-                on_hook_error=pipe.on_hook_error, order_by_position=pipe.order_by_position, logger=pipe.logger, spark=pipe.spark,
+                on_hook_error=pipe.on_hook_error, order_by_position=pipe.order_by_position, logger=pipe.logger, telemetry=pipe.telemetry, spark=pipe.spark,
             )
             parts.append(part)
         if merge and len(sources) > 1 and target and not own and pipe.sink.single:

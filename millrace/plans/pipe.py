@@ -16,6 +16,7 @@ from millrace.operators.route import failed, succeeded
 from millrace.operators.validate import Validator
 from millrace.sinks.base import Sink
 from millrace.sources.base import Source
+from millrace.telemetry import Telemetry
 
 
 class Pipe:
@@ -42,6 +43,7 @@ class Pipe:
         order_by_position: bool = False,
         native_validation: bool = True,
         logger=None,
+        telemetry: Telemetry | None = None,
         spark: SparkSession | None = None,
     ):
         self.source, self.sink, self.error_sink, self.model = source, sink, error_sink, model
@@ -52,7 +54,7 @@ class Pipe:
             source.require(self.validator.required_columns())
         self.generate_ids, self.positions, self.include_errors = generate_ids, positions or order_by_position, include_errors
         self.on_hook_error, self.order_by_position = on_hook_error, order_by_position
-        self.logger, self.spark = logger or get_logger(), spark
+        self.logger, self.spark, self.telemetry = logger or get_logger(), spark, telemetry or Telemetry()
         self.report, self.committed, self.group = Report(), {}, f"pipe-{uuid.uuid4().hex}"
         self._thread: threading.Thread | None = None
         self._store: dict = {}
@@ -81,9 +83,11 @@ class Pipe:
             df = df.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             if sink is not None:
-                self.committed = sink.write(succeeded(df))
+                with self.telemetry.span("write", sink=type(sink).__name__):
+                    self.committed = sink.write(succeeded(df))
             if error_sink is not None:
-                error_sink.write(failed(df, include_errors=self.include_errors))
+                with self.telemetry.span("write_errors", sink=type(error_sink).__name__):
+                    error_sink.write(failed(df, include_errors=self.include_errors))
             if twice or not (sink or error_sink):
                 total, bad = df.select(F.count(F.lit(1)), F.count_if(is_failed)).first()
                 return total, bad
@@ -101,7 +105,8 @@ class Pipe:
             for h in hooks:
                 done.append(h)
                 h.setup(self._store)
-            total, bad = self.process()
+            with self.telemetry.span("pipe", group=self.group):
+                total, bad = self.process()
             self.report.total_processed, self.report.error_count, self.report.success_count = total, bad, total - bad
             self.report.finish(PipeState.COMPLETED)
         except BaseException as e:

@@ -128,6 +128,11 @@ class IcebergSink(Sink):
             df.write.mode("append").parquet(f"{self.path}/data")
         return {"path": self.path}
 
+    def coordinator(self):
+        from millrace.plans.coordinators import IcebergCoordinator
+
+        return IcebergCoordinator(self.path)
+
     def split(self, workers: int) -> list[Sink]:
         return [self] * workers
 

@@ -52,3 +52,14 @@ def file_size(spark: SparkSession, path: str) -> int:
     """Bytes of a file, or of all files of a folder, in any store that Spark reads."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
+def byte_ranges(size: int, parts: int) -> list[tuple[int, int | None]]:
+    """Ranges of equal length, the last one open; a single part is the whole file.
+
+    Spark aligns splits to lines by itself; this is for stores that are read by range.
+    """
+    if parts <= 1:
+        return [(0, None)]
+    step = size // parts
+    return [(i * step, (i + 1) * step if i < parts - 1 else None) for i in range(parts)]

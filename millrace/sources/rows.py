@@ -8,6 +8,7 @@ from itertools import islice
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from millrace.model import ConfigError
 from millrace.sources.base import Source
 
 
@@ -53,3 +54,31 @@ class FrameSource(Source):
 
     def read(self, spark: SparkSession) -> DataFrame:
         return self.df
+
+
+class BytesSource(Source):
+    """CSV or JSON text that is in memory already; kind: "csv" or "json", options as of the file's source."""
+
+    can_split = False
+
+    def __init__(self, data: bytes, kind: str, limit: int | None = None, **options):
+        super().__init__(limit=limit)
+        self.data, self.kind, self.options = data, kind, options
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        from millrace.sources.files import json_values
+
+        text = self.data.decode("utf-8")
+        if self.kind == "json":
+            rows = spark.createDataFrame([(v,) for v in json_values(text)], "value string")
+            reader = spark.read.option("mode", "FAILFAST")
+            reader = reader.schema(self.options["schema"]) if "schema" in self.options else reader
+            return reader.json(rows.rdd.map(lambda r: r[0]))
+        import csv
+        import io
+
+        records = list(csv.reader(io.StringIO(text), delimiter=self.options.get("delimiter", ","), quotechar=self.options.get("quotechar", '"')))
+        names = self.options.get("fieldnames") or (records.pop(0) if records else [])
+        if any(len(r) != len(names) for r in records):
+            raise ConfigError("CSV parse error: a row of another length")
+        return spark.createDataFrame(records, T.StructType([T.StructField(n, T.StringType()) for n in names]))

@@ -250,6 +250,27 @@ def test_coordinators_run_in_order(spark, tmp_path):
     assert log == ["start a", "start b", "error a", "error b"]
 
 
+def test_bytes_and_ranges(spark):
+    assert [tuple(r) for r in m.BytesSource(b"a,b\n1,\n2,x\n", "csv").frame(spark).collect()] == [("1", ""), ("2", "x")]
+    assert sorted(r.a for r in m.BytesSource(b'[{"a": 1}] {"a": 2}', "json").frame(spark).collect()) == [1, 2]
+    with pytest.raises(m.ConfigError):
+        m.BytesSource(b"a,b\n1\n", "csv").frame(spark)
+    from millrace.sources import byte_ranges
+
+    assert byte_ranges(100, 1) == [(0, None)] and byte_ranges(101, 3) == [(0, 33), (33, 66), (66, None)]
+
+
+def test_iceberg_parts_and_pickled_pipe(spark, tmp_path):
+    import pickle
+
+    at = str(tmp_path / "t")
+    pipe = m.Pipe(m.RowsSource([{"a": i} for i in range(6)]), m.IcebergSink(at), spark=spark)
+    manager = m.PipeManager.parallelize(pipe, 2)
+    manager.run()
+    assert m.IcebergSource(at).frame(spark).count() == 6 and sum(p.frame(spark).count() for p in m.IcebergSource(at).split(2)) == 6
+    assert pickle.loads(pickle.dumps(pipe)).sink.path == at
+
+
 def test_part_names():
     assert part_path("s3://bucket/a/b.csv.gz", 0) == "s3://bucket/a/b_part_1.csv.gz" and part_path("b.jsonl", 2) == "b_part_3.jsonl"
 
