@@ -38,7 +38,16 @@ def test_sums_over_all_segmentations():
         return total + sum(p[pieces[text[:k]]] * every(text[k:]) for k in range(1, len(text) + 1) if text[:k] in pieces)
 
     for word in ("the", "nation", "é", "中a", "xqz"):
-        assert math.isclose(lattice.word(word.encode()), math.log(every(q.SPACE + word)), rel_tol=1e-9)
+        assert math.isclose(lattice.words([word.encode()])[0], math.log(every(q.SPACE + word)), rel_tol=1e-9)
+
+
+def test_words_of_all_lengths():
+    vocabulary = q.Vocabulary(PATH)
+    lattice = q.Lattice(vocabulary, vocabulary.prior)
+    words = [("the nation é中 xq" * 40)[:n].replace(" ", "").encode() for n in (1, 5, 9, 30, 80, 300)] + [b"a" * 5000, b"the"]
+    together = lattice.words(words)
+    for w, log in zip(words, together, strict=True):
+        assert math.isclose(log, lattice._long(q.SPACE + w.decode()), rel_tol=1e-9)
 
 
 def test_training_helps_on_held_out_texts(spark):
@@ -46,7 +55,7 @@ def test_training_helps_on_held_out_texts(spark):
     rows = [r for r in q.lattice_scores(texts, PATH).collect() if r.held_out]
     vocabulary = q.Vocabulary(PATH)
     lattice = q.Lattice(vocabulary, vocabulary.prior)
-    untrained = lambda t: (lattice.end + sum(lattice.word(w) for w in q.words_of(t))) / math.log(10)
+    untrained = lambda t: (lattice.end + lattice.words(q.words_of(t)).sum()) / math.log(10)
     held = dict(texts.collect())
     assert rows and all(r.score > untrained(held[r.doc_id]) for r in rows)
 
