@@ -10,8 +10,10 @@ discloses an entity e as far as
 
     PMI(t, e) / IC(e) = log(N df(t,e) / (df(t) df(e))) / log(N / df(e))
 
-which is 1 where the term never occurs without the entity. A term that reaches
-`threshold` with at least `min_support` documents behind it is treated as follows, in
+which is 1 where the term never occurs without the entity. No number of documents is
+asked for: an entity of one document has the terms that stand in at most N^(1 -
+threshold) documents; `min_support` is for callers that want more documents behind a term.
+A term that reaches `threshold` is treated as follows, in
 each such neighbourhood of the entity: it becomes a span of kind "term" and is generalised
 to its class ([TERM]), or removed.
 
@@ -140,7 +142,7 @@ def sanitise(
     id_col: str = "doc_id",
     text_col: str = "text",
     threshold: float = 0.9,
-    min_support: int = 3,
+    min_support: int = 1,
     reach: int = 240,
     generalise: bool = True,
     with_text: bool = False,

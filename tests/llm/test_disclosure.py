@@ -55,6 +55,14 @@ def test_terms_that_only_stand_with_an_entity(spark):
     assert all(r.n_terms == 0 for r in few.values())
 
 
+def test_an_entity_of_one_document_has_terms(spark):
+    rows = [(0, "write to bob@x.org about quixotry now")]
+    rows += [(100 + i, f"write to nobody about the line now {i}") for i in range(60)]
+    got = {r.doc_id: r for r in sanitise(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    assert got[0].n_terms == 1 and got[0].sanitised == "write to [EMAIL] about [TERM] now"
+    assert all(got[100 + i].n_terms == 0 for i in range(60))
+
+
 def test_odd_rows(spark, odd, odd_rows):
     got = Counter((r.doc_id, r.base_sha256) for r in sanitise(odd).collect())
     assert got == Counter((i, hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base(t)).encode()).hexdigest()) for i, t, *_ in odd_rows)
