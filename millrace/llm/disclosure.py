@@ -42,7 +42,7 @@ KINDS = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 }
 OCTETS = r"^0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(\.0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 PLACES = "array<struct<start:int,end:int,value:string>>"
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -132,6 +132,11 @@ def _term(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", ""))
 
 
+def _terms(words: Column) -> Column:
+    """Each term of the words once."""
+    return F.array_remove(F.array_distinct(F.transform(F.array_distinct(words), _term)), "")
+
+
 def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], F.lower(span["value"]))
 
@@ -162,14 +167,26 @@ def sanitise(
     words = words.filter(clear).select("id", "digest", "entity", start.alias("start"), end.alias("end"), F.col("w.value").alias("value"), _term(F.col("w.value")).alias("term")).filter("term <> ''")
     words = scratch.keep(words, "words")
 
-    total = docs.count()
+    ids = docs.groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1")
+    shared = scratch.keep(ids, "shared").select(F.col("id").alias("shared_id"), "rows")
+    twice = shared.agg(F.coalesce(F.sum(F.col("rows") - 1), F.lit(0))).first()[0]
+    total = docs.count() - twice
+
+    def frequencies(rows: DataFrame, keys: list[str]) -> DataFrame:
+        """keys, n: distinct ids; keys are distinct in a row, and only those of ids that several rows share are told apart by id."""
+        if not twice:
+            return rows.groupBy(*keys).agg(F.count("*").alias("n"))
+        on = F.col("id").eqNullSafe(F.col("shared_id"))
+        once = rows.join(shared, on, "left_anti").groupBy(*keys).agg(F.count("*").alias("n"))
+        more = rows.join(shared, on, "left_semi").select("id", *keys).distinct().groupBy(*keys).agg(F.count("*").alias("n"))
+        return once.unionByName(more).groupBy(*keys).agg(F.sum("n").alias("n"))
+
     pairs = words.select("id", "term", "entity").distinct().groupBy("term", "entity").agg(F.count("*").alias("both"))
     pairs = pairs.filter(F.col("both") >= min_support)
-    entities = kept.filter("size(base) > 0").select("id", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
+    entities = frequencies(kept.filter("size(base) > 0").select("id", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")), ["entity"]).withColumnRenamed("n", "df_e")
     candidates = scratch.keep(pairs.join(entities, "entity"), "candidates")
-    every = docs.select(F.explode(F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    # A document that writes a term in several ways counts once per way: df(t) is then high, and the term discloses less.
-    frequency = every.select(_term(F.col("w")).alias("term"), "n").join(candidates.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df_t"))
+    every = frequencies(docs.select("id", F.explode(_terms(F.split("text", SPACE))).alias("term")), ["term"]).withColumnRenamed("n", "df_t")
+    frequency = every.join(candidates.select("term").distinct(), "term", "left_semi")
     scored = candidates.join(frequency, "term")
     n = F.lit(float(max(total, 1)))
     pmi = F.log(n * F.col("both") / (F.col("df_t") * F.col("df_e")))

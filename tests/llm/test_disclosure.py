@@ -63,6 +63,15 @@ def test_an_entity_of_one_document_has_terms(spark):
     assert all(got[100 + i].n_terms == 0 for i in range(60))
 
 
+def test_document_counts_are_distinct_by_id_and_form(spark):
+    forms = "mail eve@x.org about Plugh plugh, (PLUGH) now"
+    rows = [(i, forms) for i in range(5)] + [(7, forms), (7, forms + " again"), (None, "about now"), (None, "about now")]
+    rows += [(100 + i, f"mail about the line now again {i}") for i in range(60)]
+    got = sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.n_terms for r in got if r.doc_id is not None and r.doc_id < 100] == [3] * 7
+    assert all(r.n_terms == 0 for r in got if r.doc_id is None or r.doc_id >= 100)
+
+
 def test_odd_rows(spark, odd, odd_rows):
     got = Counter((r.doc_id, r.base_sha256) for r in sanitise(odd).collect())
     assert got == Counter((i, hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base(t)).encode()).hexdigest()) for i, t, *_ in odd_rows)
