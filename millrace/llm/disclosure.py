@@ -5,21 +5,22 @@ checked (octets, Luhn digits, lengths). Their positions come from the lengths of
 lies between the matches.
 
 Protected entities are the values found (kind and text in lower case). A term is a
-word of the same line, at most `reach` characters from an entity. With document counts df over all texts, a term t
-discloses an entity e as far as
+word of a document, in lower case and without punctuation around it. With document
+counts df over whole texts, a term t discloses an entity e as far as
 
     PMI(t, e) / IC(e) = log(N df(t,e) / (df(t) df(e))) / log(N / df(e))
 
 which is 1 where the term never occurs without the entity. No number of documents is
 asked for: an entity of one document has the terms that stand in at most N^(1 -
 threshold) documents; `min_support` is for callers that want more documents behind a term.
-A term that reaches `threshold` is treated as follows, in
-each such neighbourhood of the entity: it becomes a span of kind "term" and is generalised
-to its class ([TERM]), or removed.
+A term that reaches `threshold` for any entity is treated as follows wherever it stands,
+in documents with the entity or without: it becomes a span of kind "term" and is
+generalised to its class ([TERM]), or removed. Words that touch a base span are no terms
+there.
 
-Counts are partial sums per task before anything is shuffled, and an entity's
-terms come from its neighbourhood, so neither an entity nor a term that occurs
-in a third of all rows is gathered in one place.
+Counts are partial sums per task before anything is shuffled, so neither an entity nor a
+term that occurs in a third of all rows is gathered in one place. A document gives as many
+pairs as it has different terms times different entities.
 
 Definitions for odd input: a null text counts as empty; rows are told apart by id,
 rows sharing an id count as one document for df and keep their own spans; spans of
@@ -109,23 +110,61 @@ def _listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def _contexts(text: Column, spans: Column, reach: int) -> Column:
-    """array<struct<entity, at, part, near>>: the rest of the line before and after each span, reach characters at most,
-    without a word that the reach cuts; near: the spans that may lie in it."""
+def _clear(text: Column, spans: Column) -> Column:
+    """array<string>: what lies between the spans, without words that touch one."""
 
-    def side(s: Column, before: bool) -> Column:
-        near = F.filter(spans, lambda o: (o["start"] < s["end"] + reach) & (o["end"] > s["start"] - reach))
-        if before:
-            part = F.substring_index(F.substring(text, F.greatest(s["start"] - reach, F.lit(0)) + 1, F.least(s["start"], F.lit(reach))), "\n", -1)
-            part = F.when(F.length(part) >= reach, F.regexp_replace(part, f"^{WORD}", " ")).otherwise(part)
-            at = s["start"] - F.length(part)
-        else:
-            part = F.substring_index(F.substring(text, s["end"] + 1, F.lit(reach)), "\n", 1)
-            part = F.when(F.length(part) >= reach, F.regexp_replace(part, f"{WORD}$", "")).otherwise(part)
-            at = s["end"]
-        return F.struct(_entity(s).alias("entity"), at.alias("at"), part.alias("part"), near.alias("near"))
+    def cut(part: Column, after: Column, before: Column) -> Column:
+        part = F.when(after, F.regexp_replace(part, f"^{WORD}", "")).otherwise(part)
+        return F.when(before, F.regexp_replace(part, f"{WORD}$", "")).otherwise(part)
 
-    return F.concat(F.transform(spans, lambda s: side(s, True)), F.transform(spans, lambda s: side(s, False)))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    done = F.aggregate(
+        ordered,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(s["start"] > acc["at"], F.concat(acc["out"], F.array(cut(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), acc["at"] > 0, F.lit(True))))).otherwise(acc["out"]).alias("out"),
+        ),
+    )
+    return _let(done, lambda d: F.concat(d["out"], F.array(cut(F.substring(text, d["at"] + 1, F.length(text)), d["at"] > 0, F.lit(False)))))
+
+
+def _places(text: Column, terms: Column, spans: Column) -> Column:
+    """The words of text that are one of the terms and touch none of the spans, as spans of kind "term"."""
+
+    def find(both: Column) -> Column:
+        gaps, words = both["gaps"], both["words"]
+        chosen = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(terms, _term(words[i])))
+        between = lambda prev, i: F.length(F.concat_ws("", F.slice(gaps, prev + 2, i - prev), F.slice(words, prev + 2, i - prev - 1)))
+        done = F.aggregate(
+            chosen,
+            F.struct(F.lit(0).alias("at"), F.lit(-1).alias("prev"), F.array().cast(SPAN).alias("out")),
+            lambda acc, i: _let(
+                acc["at"] + between(acc["prev"], i),
+                lambda start: F.struct(
+                    (start + F.length(words[i])).alias("at"),
+                    i.alias("prev"),
+                    F.concat(acc["out"], F.array(F.struct(F.lit("term").alias("kind"), start.alias("start"), (start + F.length(words[i])).alias("end"), words[i].alias("value")))).alias("out"),
+                ),
+            ),
+        )["out"]
+        return F.when(F.size(words) > 0, done).otherwise(F.array().cast(SPAN))
+
+    found = _let(F.struct(F.split(text, WORD, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words")), find)
+    return F.filter(found, lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"]))).cast(SPAN)
+
+
+def _likely(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, n: int) -> DataFrame:
+    """Rows whose key may be in wanted (of n rows): all that are, and about one in nine of the others.
+
+    The keys' hashes are bits of a table of some n / 8 longs, which is small enough to send to every task.
+    """
+    bits = 1 << max(10, (8 * n - 1).bit_length())
+    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(bits))
+    mask = wanted.select(slot(wanted_key).alias("slot")).groupBy(F.shiftright("slot", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("__mask"))
+    marked = rows.withColumn("__slot", slot(key))
+    marked = marked.join(F.broadcast(mask), F.shiftright("__slot", 6) == F.col("__word")).filter(F.expr("shiftrightunsigned(__mask, cast(__slot & 63 as int)) & 1") == 1)
+    return marked.drop("__slot", "__word", "__mask")
 
 
 def _term(word: Column) -> Column:
@@ -148,7 +187,6 @@ def sanitise(
     text_col: str = "text",
     threshold: float = 0.9,
     min_support: int = 1,
-    reach: int = 240,
     generalise: bool = True,
     with_text: bool = False,
 ) -> DataFrame:
@@ -157,15 +195,10 @@ def sanitise(
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col).alias("id"), text.alias("text"))
     found = docs.select("id", F.when(F.col("text").rlike("[0-9@]"), base_spans(F.col("text"))).otherwise(F.array().cast(SPAN)).alias("base"), "text")
-    around = F.when(F.size("base") > 0, _contexts(F.col("text"), F.col("base"), reach)).otherwise(F.array().cast(f"array<struct<entity:string,at:int,part:string,near:{SPAN}>>"))
-    kept = scratch.keep(found.select("id", F.xxhash64("text").alias("digest"), "base", around.alias("context")), "base")
-
-    words = kept.filter("size(context) > 0").select("id", "digest", F.explode("context").alias("c"))
-    words = words.select("id", "digest", "c.entity", "c.near", "c.at", F.explode(_positions(F.col("c.part"), WORD)).alias("w"))
-    start, end = F.col("at") + F.col("w.start"), F.col("at") + F.col("w.end")
-    clear = ~F.exists("near", lambda s: (s["start"] < end) & (s["end"] > start))
-    words = words.filter(clear).select("id", "digest", "entity", start.alias("start"), end.alias("end"), F.col("w.value").alias("value"), _term(F.col("w.value")).alias("term")).filter("term <> ''")
-    words = scratch.keep(words, "words")
+    terms = _terms(F.flatten(F.transform(_clear(F.col("text"), F.col("base")), lambda part: F.split(part, SPACE))))
+    terms = F.when(F.size("base") > 0, terms).otherwise(F.array().cast("array<string>"))
+    kept = scratch.keep(found.select("id", F.xxhash64("text").alias("digest"), "base", terms.alias("terms")), "base")
+    held = kept.filter("size(base) > 0").select("id", F.array_distinct(F.transform("base", _entity)).alias("entities"), "terms")
 
     ids = docs.groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1")
     shared = scratch.keep(ids, "shared").select(F.col("id").alias("shared_id"), "rows")
@@ -181,9 +214,9 @@ def sanitise(
         more = rows.join(shared, on, "left_semi").select("id", *keys).distinct().groupBy(*keys).agg(F.count("*").alias("n"))
         return once.unionByName(more).groupBy(*keys).agg(F.sum("n").alias("n"))
 
-    pairs = words.select("id", "term", "entity").distinct().groupBy("term", "entity").agg(F.count("*").alias("both"))
-    pairs = pairs.filter(F.col("both") >= min_support)
-    entities = frequencies(kept.filter("size(base) > 0").select("id", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")), ["entity"]).withColumnRenamed("n", "df_e")
+    pairs = held.select("id", "entities", F.explode("terms").alias("term")).select("id", "term", F.explode("entities").alias("entity"))
+    pairs = frequencies(pairs, ["term", "entity"]).withColumnRenamed("n", "both").filter(F.col("both") >= min_support)
+    entities = frequencies(held.select("id", F.explode("entities").alias("entity")), ["entity"]).withColumnRenamed("n", "df_e")
     candidates = scratch.keep(pairs.join(entities, "entity"), "candidates")
     every = frequencies(docs.select("id", F.explode(_terms(F.split("text", SPACE))).alias("term")), ["term"]).withColumnRenamed("n", "df_t")
     frequency = every.join(candidates.select("term").distinct(), "term", "left_semi")
@@ -191,13 +224,19 @@ def sanitise(
     n = F.lit(float(max(total, 1)))
     pmi = F.log(n * F.col("both") / (F.col("df_t") * F.col("df_e")))
     content = F.log(n / F.col("df_e"))
-    disclosing = scored.filter((F.col("df_e") < total) & (pmi >= content * threshold)).select("term", "entity")
-
-    hits = words.join(disclosing, ["term", "entity"], "left_semi").select("id", "digest", "start", "end", "value").distinct()
-    terms = hits.groupBy("id", "digest").agg(
-        F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end", "value"))).cast(SPAN).alias("terms")
-    )
-    rows = kept.select("id", "digest", "base").join(terms, ["id", "digest"], "left").withColumn("terms", F.coalesce("terms", F.array().cast(SPAN)))
+    disclosing = scratch.keep(scored.filter((F.col("df_e") < total) & (pmi >= content * threshold)).select("term").distinct(), "disclosing")
+
+    # A disclosing term is marked in every document: first the documents that have one, then the places in these.
+    text = docs.select("id", F.xxhash64("text").alias("digest"), "text")
+    having = text.select("id", "digest", F.explode(_terms(F.split("text", SPACE))).alias("term"))
+    having = _likely(having, F.col("term"), disclosing, F.col("term"), disclosing.count()).join(disclosing, "term", "left_semi")
+    having = scratch.keep(having.groupBy("id", "digest").agg(F.collect_set("term").alias("terms")), "having")
+    texts = _likely(text, F.col("digest"), having, F.col("digest"), having.count()).dropDuplicates(["id", "digest"])
+    same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.digest") == F.col(f"{b}.digest"))
+    texts = texts.alias("t").join(having.alias("h"), same("t", "h")).select("t.id", "t.digest", "t.text", "h.terms")
+    base = F.when(F.col("text").rlike("[0-9@]"), base_spans(F.col("text"))).otherwise(F.array().cast(SPAN))
+    terms = texts.select("id", "digest", _let(base, lambda spans: _places(F.col("text"), F.col("terms"), spans)).alias("terms"))
+    rows = kept.alias("k").join(terms.alias("t"), same("k", "t"), "left").select("k.id", "k.digest", "base", F.coalesce("t.terms", F.array().cast(SPAN)).alias("terms"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     out = [
         F.col("id").alias(id_col),
@@ -207,7 +246,8 @@ def sanitise(
         F.size("terms").cast("long").alias("n_terms"),
     ]
     if with_text:
-        rows = rows.join(docs.withColumn("digest", F.xxhash64("text")).dropDuplicates(["id", "digest"]), ["id", "digest"])
+        once = text.dropDuplicates(["id", "digest"])
+        rows = rows.alias("r").join(once.alias("o"), same("r", "o")).select("r.id", "base", "terms", "text")
         out.append(_sanitised(F.col("text"), F.concat("base", "terms"), generalise).alias("sanitised"))
     return rows.select(*out)
 

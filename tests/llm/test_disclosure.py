@@ -72,6 +72,21 @@ def test_document_counts_are_distinct_by_id_and_form(spark):
     assert all(r.n_terms == 0 for r in got if r.doc_id is None or r.doc_id >= 100)
 
 
+def test_terms_anywhere_in_any_document(spark):
+    far = "mail joe@x.org now\n" + "the line of things " * 90 + "\nthen (Xyzzy), é 😀 xyzzy!"
+    rows = [(i, far) for i in range(5)] + [(50, "things of\nthe xyzzy line"), (None, "now Xyzzy"), (50, "other things")]
+    rows += [(100 + i, f"now mail then the line of things other é 😀 {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sanitise(docs, with_text=True).collect()
+    at = far.index("(Xyzzy)")
+    for r in got:
+        if r.doc_id is not None and r.doc_id < 5:
+            assert r.spans == f"email:5:14,term:{at}:{at + 8},term:{len(far) - 6}:{len(far)}" and r.sanitised.endswith("then [TERM] é 😀 [TERM]")
+    others = sorted((r.sanitised, r.n_terms) for r in got if r.doc_id is None or r.doc_id == 50)
+    assert others == [("now [TERM]", 1), ("other things", 0), ("things of\nthe [TERM] line", 1)] and len(got) == len(rows)
+    assert all(r.n_terms == 0 for r in got if r.doc_id is not None and r.doc_id >= 100)
+
+
 def test_odd_rows(spark, odd, odd_rows):
     got = Counter((r.doc_id, r.base_sha256) for r in sanitise(odd).collect())
     assert got == Counter((i, hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base(t)).encode()).hexdigest()) for i, t, *_ in odd_rows)
