@@ -10,8 +10,8 @@ farther than a chi-square quantile are rejected.
 
 A step is one aggregation: rows are binned by distance (64 bins for a factor e) and
 each bin keeps its count, sums and cross-products, so that a group of any size
-arrives as some hundred rows. Groups with fewer than MIN_GROUP rows pool within their
-language, and then over everything. Variances have a floor, so that copies and
+arrives as some hundred rows. Groups with fewer than MIN_GROUP rows are judged by the
+estimate of all rows of their language, or where these are fewer too, of all rows. Variances have a floor, so that copies and
 constant statistics can't make a covariance singular.
 
 Definitions for odd input: a null text counts as empty (no words, base_failed); null
@@ -82,15 +82,18 @@ def statistics(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_
     return picked.mapInArrow(run, f"id {kind}, lang string, source string, " + ", ".join(f"{k} long" for k in COUNTERS) + ", x array<double>")
 
 
-def _grouped(stats: DataFrame, min_group: int) -> DataFrame:
-    """lang, source, gid: the group whose estimate holds for the pair."""
+def _grouped(stats: DataFrame, min_group: int) -> tuple[DataFrame, DataFrame]:
+    """lang, source, gid: the group whose estimate holds for the pair; and lang, source, gid: each group in whose estimate the pair's rows count."""
     sizes = stats.filter("not base_failed").groupBy("lang", "source").count()
     own = F.concat(F.lit("source "), F.to_json(F.struct("lang", "source")))
     lang = F.concat(F.lit("lang "), F.to_json(F.struct("lang")))
-    pooled = sizes.filter(F.col("count") < min_group).groupBy(lang.alias("lang_gid")).agg(F.sum("count").alias("pooled"))
-    named = sizes.withColumn("lang_gid", lang).join(pooled, "lang_gid", "left")
+    pooled = sizes.groupBy(lang.alias("lang_gid")).agg(F.sum("count").alias("pooled"))
+    named = sizes.withColumn("lang_gid", lang).join(pooled, "lang_gid")
     gid = F.when(F.col("count") >= min_group, own).when(F.col("pooled") >= min_group, F.col("lang_gid")).otherwise("all")
-    return named.select("lang", "source", gid.alias("gid"))
+    judged = named.select("lang", "source", "lang_gid", gid.alias("gid"))
+    used = judged.select("gid").distinct()
+    counted = named.select("lang", "source", F.explode(F.array(own, "lang_gid", F.lit("all"))).alias("gid")).join(used, "gid", "left_semi")
+    return judged.select("lang", "source", "gid"), counted.select("lang", "source", "gid")
 
 
 def _distance(x: Column, mean: Column, precision: Column) -> Column:
@@ -195,11 +198,11 @@ def robust_outliers(
     scratch = Scratch(session_of(df), "mcd")
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     stats = scratch.keep(statistics(df, id_col, text_col, lang_col, source_col).withColumn("base_failed", failed), "stats")
-    groups = scratch.keep(_grouped(stats, min_group), "groups")
+    groups, counted = (scratch.keep(g, "groups") for g in _grouped(stats, min_group))
     named = stats.alias("s").join(groups.alias("g"), F.expr("s.lang <=> g.lang and s.source <=> g.source"), "left").select("s.*", "g.gid")
     named = scratch.keep(named, "named")
     scratch.drop(stats)
-    rows = named.filter("not base_failed").select("gid", "x")
+    rows = named.filter("not base_failed").alias("s").join(counted.alias("g"), F.expr("s.lang <=> g.lang and s.source <=> g.source")).select("g.gid", "s.x")
     params = scratch.keep(_starts(rows, scratch), "start")
     for _ in range(steps):
         params = scratch.keep(_bins(rows, params).groupBy("gid", "start").applyInPandas(_step, PARAMS), "step")

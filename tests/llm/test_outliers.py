@@ -35,6 +35,16 @@ def test_junk_goes_and_prose_stays(spark):
     assert sum(got[i] for i, *_ in rows) == len(rows)
 
 
+def test_a_small_source_is_judged_by_all_rows(spark):
+    r = random.Random(5)
+    rows = [(i, prose(r, r.randint(60, 500)), "en", f"s{i % 2}") for i in range(200)]
+    junk = [(1000 + i, " ".join(f"{w}***" for w in prose(r, 120).split()), lang, "new") for i, lang in enumerate(["xx", "xx", None, "en"])]
+    few = [(2000, prose(r, 120), "yy", "new")]
+    got = {x.doc_id: x.kept for x in robust_outliers(spark.createDataFrame(rows + junk + few, "doc_id long, text string, lang string, source string"), min_group=50).collect()}
+    assert not any(got[i] for i, *_ in junk)
+    assert all(got[i] for i, *_ in rows + few)
+
+
 def test_quantiles():
     for x in (2.0, 7.0, 12.0):
         assert abs(chi2_quantile(P, 1 - chi2_cdf(P, x)) - x) < 0.1
