@@ -19,12 +19,17 @@ generalised to its class ([TERM]), or removed. Words that touch a base span are
 there.
 
 Counts are partial sums per task before anything is shuffled, so neither an entity nor a
-term that occurs in a third of all rows is gathered in one place. A document gives as many
-pairs as it has different terms times different entities.
-
-Definitions for odd input: a null text counts as empty; rows are told apart by id,
-rows sharing an id count as one document for df and keep their own spans; spans of
-different kinds may overlap.
+term that occurs in a third of all rows is gathered in one place. A pair of a document's
+term and entity is only counted where df(t) and df(e) leave it open whether the term
+discloses the entity; with one document in common it often does already, and a term of
+too many documents never does. Places in a text are running sums in parts, so that a text
+with many spans takes little more than the time that its length does.
+
+Definitions for odd input: a null text counts as empty; rows are told apart by id and
+text, a null id is an id like any other; rows sharing an id count as one document for df
+and keep their own spans, and equal rows get equal results; spans of different kinds may
+overlap; texts of any length are taken whole; an empty table gives an empty result;
+further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,16 +39,21 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import Scratch, session_of
 
-#: Kind, pattern, what a text must contain to hold a match. Possessive
-#: quantifiers change no match and keep Java's matcher from recursing on long runs.
+#: Kind, pattern, a string that a text with a match contains, and what a text must contain to hold a
+#: valid match. Possessive quantifiers change no match and keep Java's matcher from recursing on long runs.
 KINDS = {
-    "email": (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"@"),
-    "ip": (r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]"),
-    "card": (r"[0-9](?:[\x20-]?+[0-9])++", r"[0-9][\x20-]?[0-9]"),
-    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
+    "email": (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", r"@[A-Za-z0-9-]"),
+    "ip": (r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"),
+    "card": (r"[0-9](?:[\x20-]?+[0-9])++", "", r"[0-9](?:[\x20-]?+[0-9]){12}"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+", r"\+[0-9]"),
 }
 OCTETS = r"^0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(\.0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
 WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
+MARKS = r"[\p{P}\p{S}]"
+BETWEEN = r"(?:(?<![\p{P}\p{S}])[\p{P}\p{S}]++)?+[\x20\x09-\x0D][\p{P}\p{S}\x20\x09-\x0D]*+"
+#: Most bits of a table that is sent to all tasks: 8 MB.
+MOST_BITS = 1 << 26
+PARTS = "array<struct<at:int,part:string>>"
 PLACES = "array<struct<start:int,end:int,value:string>>"
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -67,29 +77,32 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _running(values: Column, step) -> Column:
+    """array<long>: step over the first one, two, ... of the values (long, at least one), starting from 0.
+
+    Appending copies an array, so the values are taken in parts of about the square root of their number.
+    """
+    wide = F.greatest(F.ceil(F.sqrt(F.size(values))), F.lit(1)).cast("int")
+    parts = _let(wide, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / w).cast("int")), lambda k: F.slice(values, k * w + 1, w)))
+
+    def within(part: Column, last: Column) -> Column:
+        start = F.struct(last.alias("last"), F.array().cast("array<long>").alias("out"))
+        return F.aggregate(part, start, lambda acc, v: F.struct(step(acc["last"], v).alias("last"), F.concat(acc["out"], F.array(step(acc["last"], v))).alias("out")))["out"]
+
+    start = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<array<long>>").alias("out"))
+    done = F.aggregate(parts, start, lambda acc, part: _let(within(part, acc["last"]), lambda run: F.struct(F.element_at(run, -1).alias("last"), F.concat(acc["out"], F.array(run)).alias("out"))))
+    return F.flatten(done["out"])
+
+
 def _positions(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>>: the matches of pattern with their code point positions."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def spans(both: Column) -> Column:
-        start = F.aggregate(
-            F.sequence(F.lit(0), F.size(both["found"]) - 1),
-            F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out")),
-            lambda acc, i: F.struct(
-                (acc["at"] + F.length(both["gaps"][i]) + F.length(both["found"][i])).alias("at"),
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(both["gaps"][i])).alias("start"),
-                            (acc["at"] + F.length(both["gaps"][i]) + F.length(both["found"][i])).alias("end"),
-                            both["found"][i].alias("value"),
-                        )
-                    ),
-                ).alias("out"),
-            ),
-        )["out"]
-        return F.when(F.size(both["found"]) > 0, start).otherwise(F.array().cast(PLACES))
+        lengths = F.zip_with(F.slice(both["gaps"], F.lit(1), F.size(both["found"])), both["found"], lambda g, f: (F.length(g) + F.length(f)).cast("long"))
+        ends = _let(lengths, lambda each: _running(each, lambda at, n: at + n))
+        placed = F.zip_with(ends, both["found"], lambda end, f: F.struct((end.cast("int") - F.length(f)).alias("start"), end.cast("int").alias("end"), f.alias("value")))
+        return F.when(F.size(both["found"]) > 0, placed).otherwise(F.array().cast(PLACES))
 
     return _let(F.struct(gaps.alias("gaps"), found.alias("found")), spans)
 
@@ -100,8 +113,8 @@ def base_spans(text: Column) -> Column:
 
 
 def _of_kind(text: Column, kind: str) -> Column:
-    pattern, needs = KINDS[kind]
-    found = F.when(text.rlike(needs), _positions(text, pattern)).otherwise(F.array().cast(PLACES))
+    pattern, has, needs = KINDS[kind]
+    found = F.when(F.contains(text, F.lit(has)) & text.rlike(needs), _positions(text, pattern)).otherwise(F.array().cast(PLACES))
     valid = F.filter(found, lambda s: _valid(kind, s["value"]))
     return F.transform(valid, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
@@ -111,55 +124,73 @@ def _listed(spans: Column) -> Column:
 
 
 def _clear(text: Column, spans: Column) -> Column:
-    """array<string>: what lies between the spans, without words that touch one."""
+    """array<struct<at, part>>: what lies between the spans and where it starts, without words that touch a span."""
+
+    def free(ordered: Column) -> Column:
+        last = F.size(ordered)
+        ends = F.transform(ordered, lambda s: s["end"].cast("long"))
+        far = F.when(last > 0, _let(ends, lambda e: _running(e, lambda at, end: F.greatest(at, end)))).otherwise(F.array().cast("array<long>"))
+        gap = lambda reach: F.transform(
+            F.sequence(F.lit(0), last), lambda i: F.struct(F.when(i > 0, F.get(reach, i - 1)).otherwise(F.lit(0)).cast("int").alias("start"), F.when(i < last, F.get(ordered, i)["start"]).otherwise(F.length(text)).alias("end"), (i > 0).alias("after"), (i < last).alias("before"))
+        )
+        return F.filter(_let(far, gap), lambda g: g["end"] > g["start"])
+
+    def cut(part: Column, gap: Column) -> Column:
+        front = F.when(gap["after"], F.regexp_replace(part, f"^{WORD}", "")).otherwise(part)
+        return _let(front, lambda x: F.struct((gap["start"] + F.length(part) - F.length(x)).alias("at"), F.when(gap["before"], F.regexp_replace(x, f"{WORD}$", "")).otherwise(x).alias("part")))
+
+    def parts(gaps: Column) -> Column:
+        # Finding a place in a text costs its distance from the start, so the text is cut in two steps.
+        wide = F.greatest(F.ceil(F.sqrt(F.size(gaps))), F.lit(1)).cast("int")
+        groups = _let(wide, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(gaps) - 1) / w).cast("int")), lambda k: F.slice(gaps, k * w + 1, w)))
+        inside = lambda group: _let(
+            F.struct(group[0]["start"].alias("at"), F.substring(text, group[0]["start"] + 1, F.element_at(group, -1)["end"] - group[0]["start"]).alias("text")),
+            lambda held: F.transform(group, lambda g: _let(F.substring(held["text"], g["start"] - held["at"] + 1, g["end"] - g["start"]), lambda x: cut(x, g))),
+        )
+        return F.when(F.size(gaps) > 0, F.flatten(F.transform(groups, inside))).otherwise(F.array().cast(PARTS))
+
+    whole = F.array(F.struct(F.lit(0).alias("at"), text.alias("part"))).cast(PARTS)
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return F.when(F.size(spans) == 0, whole).otherwise(_let(_let(ordered, free), parts).cast(PARTS))
 
-    def cut(part: Column, after: Column, before: Column) -> Column:
-        part = F.when(after, F.regexp_replace(part, f"^{WORD}", "")).otherwise(part)
-        return F.when(before, F.regexp_replace(part, f"{WORD}$", "")).otherwise(part)
 
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    done = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] > acc["at"], F.concat(acc["out"], F.array(cut(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), acc["at"] > 0, F.lit(True))))).otherwise(acc["out"]).alias("out"),
-        ),
-    )
-    return _let(done, lambda d: F.concat(d["out"], F.array(cut(F.substring(text, d["at"] + 1, F.length(text)), d["at"] > 0, F.lit(False)))))
+def _buckets(terms: Column) -> Column:
+    """The terms in lists by hash, about the square root of their number, so that a look-up reads a short list."""
+    wide = F.greatest(F.ceil(F.sqrt(F.size(terms))), F.lit(1)).cast("int")
+    return _let(wide, lambda w: F.transform(F.sequence(F.lit(0), w - 1), lambda b: F.filter(terms, lambda t: F.pmod(F.hash(t), w) == b)))
 
 
-def _places(text: Column, terms: Column, spans: Column) -> Column:
-    """The words of text that are one of the terms and touch none of the spans, as spans of kind "term"."""
+def _places(part: Column, buckets: Column) -> Column:
+    """array<struct<start, end, value>>: the words of part whose term is in the buckets."""
 
     def find(both: Column) -> Column:
         gaps, words = both["gaps"], both["words"]
-        chosen = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(terms, _term(words[i])))
-        between = lambda prev, i: F.length(F.concat_ws("", F.slice(gaps, prev + 2, i - prev), F.slice(words, prev + 2, i - prev - 1)))
-        done = F.aggregate(
-            chosen,
-            F.struct(F.lit(0).alias("at"), F.lit(-1).alias("prev"), F.array().cast(SPAN).alias("out")),
-            lambda acc, i: _let(
-                acc["at"] + between(acc["prev"], i),
-                lambda start: F.struct(
-                    (start + F.length(words[i])).alias("at"),
-                    i.alias("prev"),
-                    F.concat(acc["out"], F.array(F.struct(F.lit("term").alias("kind"), start.alias("start"), (start + F.length(words[i])).alias("end"), words[i].alias("value")))).alias("out"),
-                ),
-            ),
-        )["out"]
-        return F.when(F.size(words) > 0, done).otherwise(F.array().cast(SPAN))
-
-    found = _let(F.struct(F.split(text, WORD, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words")), find)
-    return F.filter(found, lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"]))).cast(SPAN)
-
-
-def _likely(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, n: int) -> DataFrame:
-    """Rows whose key may be in wanted (of n rows): all that are, and about one in nine of the others.
-
-    The keys' hashes are bits of a table of some n / 8 longs, which is small enough to send to every task.
+        known = lambda term: F.array_contains(buckets[F.pmod(F.hash(term), F.size(buckets))], term)
+        chosen = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: _let(_term(words[i]), known))
+
+        def place(chosen: Column) -> Column:
+            before = lambda k: F.when(k > 0, F.get(chosen, k - 1)).otherwise(F.lit(-1))
+            length = lambda prev, i: F.length(F.concat_ws("", F.slice(gaps, prev + 2, i - prev), F.slice(words, prev + 2, i - prev))).cast("long")
+            steps = F.transform(F.sequence(F.lit(0), F.size(chosen) - 1), lambda k: length(before(k), chosen[k]))
+            ends = _let(steps, lambda each: _running(each, lambda at, n: at + n))
+            placed = F.zip_with(ends, chosen, lambda end, i: F.struct((end.cast("int") - F.length(words[i])).alias("start"), end.cast("int").alias("end"), words[i].alias("value")))
+            return F.when(F.size(chosen) > 0, placed).otherwise(F.array().cast(PLACES))
+
+        return F.when(F.size(words) > 0, _let(chosen, place)).otherwise(F.array().cast(PLACES))
+
+    return _let(F.struct(F.split(part, WORD, -1).alias("gaps"), F.regexp_extract_all(part, F.lit(WORD), F.lit(0)).alias("words")), find)
+
+
+def _likely(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """Rows whose key may be in wanted: all that are, and few of the others while wanted has less than some millions of rows.
+
+    The keys' hashes are bits of a table that is sent to every task and never has more than
+    MOST_BITS bits; a larger `wanted` lets more other rows through, and none is lost.
     """
-    bits = 1 << max(10, (8 * n - 1).bit_length())
+    n = wanted.count()
+    if 4 * n > MOST_BITS:
+        return rows
+    bits = min(MOST_BITS, 1 << max(10, (32 * n - 1).bit_length()))
     slot = lambda k: F.pmod(F.xxhash64(k), F.lit(bits))
     mask = wanted.select(slot(wanted_key).alias("slot")).groupBy(F.shiftright("slot", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("__mask"))
     marked = rows.withColumn("__slot", slot(key))
@@ -168,12 +199,12 @@ def _likely(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column,
 
 
 def _term(word: Column) -> Column:
-    return F.lower(F.regexp_replace(word, r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", ""))
+    return F.regexp_replace(F.lower(word), f"^{MARKS}++|(?<!{MARKS}){MARKS}++$", "")
 
 
-def _terms(words: Column) -> Column:
-    """Each term of the words once."""
-    return F.array_remove(F.array_distinct(F.transform(F.array_distinct(words), _term)), "")
+def _terms(text: Column) -> Column:
+    """Each term of the text once: what _term gives for its words, by splitting at white space and the marks next to it."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(F.concat(F.lit(" "), text, F.lit(" "))), BETWEEN)), "")
 
 
 def _entity(span: Column) -> Column:
@@ -193,17 +224,17 @@ def sanitise(
     """Per row of df: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms, and with_text the sanitised text."""
     scratch = Scratch(session_of(df), "pii")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = df.select(F.col(id_col).alias("id"), text.alias("text"))
-    found = docs.select("id", F.when(F.col("text").rlike("[0-9@]"), base_spans(F.col("text"))).otherwise(F.array().cast(SPAN)).alias("base"), "text")
-    terms = _terms(F.flatten(F.transform(_clear(F.col("text"), F.col("base")), lambda part: F.split(part, SPACE))))
-    terms = F.when(F.size("base") > 0, terms).otherwise(F.array().cast("array<string>"))
-    kept = scratch.keep(found.select("id", F.xxhash64("text").alias("digest"), "base", terms.alias("terms")), "base")
-    held = kept.filter("size(base) > 0").select("id", F.array_distinct(F.transform("base", _entity)).alias("entities"), "terms")
+    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    base = F.when(F.col("text").rlike("[0-9@]"), base_spans(F.col("text"))).otherwise(F.array().cast(SPAN))
+    terms = F.when(F.size("base") > 0, F.array_distinct(F.flatten(F.transform(_clear(F.col("text"), F.col("base")), lambda p: _terms(p["part"])))))
+    kept = docs.select("id", "digest", base.alias("base"), "text").select("id", "digest", "base", terms.alias("terms"))
+    kept = scratch.keep(kept, "base")
+    held = kept.filter("size(base) > 0").select("id", "digest", F.array_distinct(F.transform("base", _entity)).alias("entities"), "terms")
 
     ids = docs.groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1")
     shared = scratch.keep(ids, "shared").select(F.col("id").alias("shared_id"), "rows")
     twice = shared.agg(F.coalesce(F.sum(F.col("rows") - 1), F.lit(0))).first()[0]
-    total = docs.count() - twice
+    total = kept.count() - twice
 
     def frequencies(rows: DataFrame, keys: list[str]) -> DataFrame:
         """keys, n: distinct ids; keys are distinct in a row, and only those of ids that several rows share are told apart by id."""
@@ -214,29 +245,43 @@ def sanitise(
         more = rows.join(shared, on, "left_semi").select("id", *keys).distinct().groupBy(*keys).agg(F.count("*").alias("n"))
         return once.unionByName(more).groupBy(*keys).agg(F.sum("n").alias("n"))
 
-    pairs = held.select("id", "entities", F.explode("terms").alias("term")).select("id", "term", F.explode("entities").alias("entity"))
-    pairs = frequencies(pairs, ["term", "entity"]).withColumnRenamed("n", "both").filter(F.col("both") >= min_support)
-    entities = frequencies(held.select("id", F.explode("entities").alias("entity")), ["entity"]).withColumnRenamed("n", "df_e")
-    candidates = scratch.keep(pairs.join(entities, "entity"), "candidates")
-    every = frequencies(docs.select("id", F.explode(_terms(F.split("text", SPACE))).alias("term")), ["term"]).withColumnRenamed("n", "df_t")
-    frequency = every.join(candidates.select("term").distinct(), "term", "left_semi")
-    scored = candidates.join(frequency, "term")
     n = F.lit(float(max(total, 1)))
-    pmi = F.log(n * F.col("both") / (F.col("df_t") * F.col("df_e")))
-    content = F.log(n / F.col("df_e"))
-    disclosing = scratch.keep(scored.filter((F.col("df_e") < total) & (pmi >= content * threshold)).select("term").distinct(), "disclosing")
+    discloses = lambda both, df_t, df_e: (df_e < total) & (F.log(n * both / (df_t * df_e)) >= F.log(n / df_e) * threshold)
+    entities = frequencies(held.select("id", F.explode("entities").alias("entity")), ["entity"]).withColumnRenamed("n", "df_e")
+    entities = scratch.keep(entities, "entities")
+    # Of its documents, a term shares with an entity at most all of either's; terms of more documents disclose nothing.
+    most = entities.filter(F.col("df_e") < total).agg(F.max(F.col("df_e") * F.pow(n / F.col("df_e"), F.lit(1 - threshold)))).first()[0] or 0.0
+    candidates = scratch.keep(held.select(F.explode("terms").alias("term")).distinct(), "candidates")
+    every = docs.select("id", F.explode(_terms(F.col("text"))).alias("term"))
+    frequency = frequencies(_likely(every, F.col("term"), candidates, F.col("term")), ["term"]).withColumnRenamed("n", "df_t")
+    rare = scratch.keep(frequency.filter(F.col("df_t") <= most * 1.000001).join(candidates, "term", "left_semi"), "rare")
+
+    # Entities by row, with their counts, meet the row's rare terms. With one document in common a term may disclose
+    # already; where that is too few and all documents would be enough, the common ones are counted.
+    same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.digest") == F.col(f"{b}.digest"))
+    known = held.select("id", "digest", F.explode("entities").alias("entity")).join(entities, "entity").filter(F.col("df_e") < total)
+    known = scratch.keep(known.groupBy("id", "digest").agg(F.min("df_e").alias("least"), F.collect_set(F.struct("entity", "df_e")).alias("known")), "known")
+    seen = _likely(held.select("id", "digest", F.explode("terms").alias("term")), F.col("term"), rare, F.col("term")).join(rare, "term")
+    pairs = seen.alias("s").join(known.alias("k"), same("s", "k")).select("s.id", "s.term", "s.df_t", "k.least", "k.known")
+    sure = discloses(F.lit(1), F.col("df_t"), F.col("least")) if min_support <= 1 else F.lit(False)
+    maybe = F.filter("known", lambda e: discloses(F.least(F.col("df_t"), e["df_e"]), F.col("df_t"), e["df_e"]))
+    pairs = pairs.select("id", "term", "df_t", sure.alias("sure"), F.when(sure, F.array().cast("array<struct<entity:string,df_e:long>>")).otherwise(maybe).alias("known"))
+    pairs = scratch.keep(pairs.filter("sure or size(known) > 0"), "pairs")
+    open_ = pairs.select("id", "term", "df_t", F.explode("known").alias("e")).select("id", "term", "df_t", "e.entity", "e.df_e")
+    counted = frequencies(open_, ["term", "entity", "df_t", "df_e"]).filter((F.col("n") >= min_support) & discloses(F.col("n"), F.col("df_t"), F.col("df_e")))
+    disclosing = scratch.keep(pairs.filter("sure").select("term").union(counted.select("term")).distinct(), "disclosing")
 
     # A disclosing term is marked in every document: first the documents that have one, then the places in these.
-    text = docs.select("id", F.xxhash64("text").alias("digest"), "text")
-    having = text.select("id", "digest", F.explode(_terms(F.split("text", SPACE))).alias("term"))
-    having = _likely(having, F.col("term"), disclosing, F.col("term"), disclosing.count()).join(disclosing, "term", "left_semi")
+    having = docs.select("id", "digest", F.explode(_terms(F.col("text"))).alias("term"))
+    having = _likely(having, F.col("term"), disclosing, F.col("term")).join(disclosing, "term", "left_semi")
     having = scratch.keep(having.groupBy("id", "digest").agg(F.collect_set("term").alias("terms")), "having")
-    texts = _likely(text, F.col("digest"), having, F.col("digest"), having.count()).dropDuplicates(["id", "digest"])
-    same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.digest") == F.col(f"{b}.digest"))
-    texts = texts.alias("t").join(having.alias("h"), same("t", "h")).select("t.id", "t.digest", "t.text", "h.terms")
-    base = F.when(F.col("text").rlike("[0-9@]"), base_spans(F.col("text"))).otherwise(F.array().cast(SPAN))
-    terms = texts.select("id", "digest", _let(base, lambda spans: _places(F.col("text"), F.col("terms"), spans)).alias("terms"))
-    rows = kept.alias("k").join(terms.alias("t"), same("k", "t"), "left").select("k.id", "k.digest", "base", F.coalesce("t.terms", F.array().cast(SPAN)).alias("terms"))
+    spans = _likely(kept.select("id", "digest", "base"), F.col("digest"), having, F.col("digest")).dropDuplicates(["id", "digest"])
+    wanted = having.alias("h").join(spans.alias("s"), same("h", "s")).select("h.id", "h.digest", _buckets(F.col("terms")).alias("buckets"), "base")
+    texts = _likely(docs, F.col("digest"), having, F.col("digest")).dropDuplicates(["id", "digest"])
+    parts = texts.alias("t").join(wanted.alias("h"), same("t", "h")).select("t.id", "t.digest", "h.buckets", _clear(F.col("t.text"), F.col("h.base")).alias("parts"))
+    placed = lambda p: F.transform(_places(p["part"], F.col("buckets")), lambda w: F.struct(F.lit("term").alias("kind"), (p["at"] + w["start"]).alias("start"), (p["at"] + w["end"]).alias("end"), w["value"].alias("value")))
+    places = scratch.keep(parts.select("id", "digest", F.flatten(F.transform("parts", placed)).alias("places")), "places")
+    rows = kept.alias("k").join(places.alias("t"), same("k", "t"), "left").select("k.id", "k.digest", "base", F.coalesce("places", F.array().cast(SPAN)).cast(SPAN).alias("terms"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     out = [
         F.col("id").alias(id_col),
@@ -246,7 +291,7 @@ def sanitise(
         F.size("terms").cast("long").alias("n_terms"),
     ]
     if with_text:
-        once = text.dropDuplicates(["id", "digest"])
+        once = docs.dropDuplicates(["id", "digest"])
         rows = rows.alias("r").join(once.alias("o"), same("r", "o")).select("r.id", "base", "terms", "text")
         out.append(_sanitised(F.col("text"), F.concat("base", "terms"), generalise).alias("sanitised"))
     return rows.select(*out)
