@@ -18,14 +18,16 @@ def session_of(df: DataFrame) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is made and set as checkpoint folder.
+    Read from ``spark.checkpoint.dir``; only where that is unset and Spark runs in one
+    process (tests) a temporary folder is made and set as checkpoint folder.
     """
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='millrace-')}")
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -71,6 +73,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed so that no column of df has one of them, in any case."""
+    taken = {c.lower() for c in df.columns}
+    mark = "__"
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
+#: Most bits of a table that is sent to all tasks: 8 MB.
+MOST_BITS = 1 << 26
+
+
+def _marked(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame | None:
+    """rows with __hit, true where the key may be in wanted; None if wanted is too large for a table that tells."""
+    n = wanted.count()
+    if 4 * n > MOST_BITS:
+        return None
+    bits = min(MOST_BITS, 1 << max(10, (32 * n - 1).bit_length()))
+    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(bits))
+    mask = wanted.select(slot(wanted_key).alias("slot")).groupBy(F.shiftright("slot", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("__mask"))
+    marked = rows.withColumn("__slot", slot(key)).join(F.broadcast(mask), F.shiftright("__slot", 6) == F.col("__word"), "left")
+    return marked.withColumn("__hit", F.coalesce(F.expr("shiftrightunsigned(__mask, cast(__slot & 63 as int)) & 1") == 1, F.lit(False))).drop("__slot", "__word", "__mask")
+
+
+def likely(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """Rows whose key may be in wanted: all that are, and few of the others while wanted has less than some millions of rows.
+
+    The keys' hashes are bits of a table that is sent to every task and never has more than
+    MOST_BITS bits; a larger `wanted` lets more other rows through, and none is lost.
+    """
+    marked = _marked(rows, key, wanted, wanted_key)
+    return rows if marked is None else marked.filter("__hit").drop("__hit")
+
+
+def unlikely(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """The rows that `likely` leaves out, none of whose keys is in wanted."""
+    marked = _marked(rows, key, wanted, wanted_key)
+    return rows.limit(0) if marked is None else marked.filter("not __hit").drop("__hit")
+
+
 def crc_mod(id_column: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo divisor; a null id counts as empty text."""
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % divisor

@@ -37,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, session_of
+from millrace.llm.common import Scratch, likely, session_of
 
 #: Kind, pattern, a string that a text with a match contains, and what a text must contain to hold a
 #: valid match. Possessive quantifiers change no match and keep Java's matcher from recursing on long runs.
@@ -51,8 +51,6 @@ OCTETS = r"^0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(\.0*(25[0-5]|2[0-4][0
 WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 MARKS = r"[\p{P}\p{S}]"
 BETWEEN = r"(?:(?<![\p{P}\p{S}])[\p{P}\p{S}]++)?+[\x20\x09-\x0D][\p{P}\p{S}\x20\x09-\x0D]*+"
-#: Most bits of a table that is sent to all tasks: 8 MB.
-MOST_BITS = 1 << 26
 PARTS = "array<struct<at:int,part:string>>"
 PLACES = "array<struct<start:int,end:int,value:string>>"
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
@@ -181,23 +179,6 @@ def _places(part: Column, buckets: Column) -> Column:
     return _let(F.struct(F.split(part, WORD, -1).alias("gaps"), F.regexp_extract_all(part, F.lit(WORD), F.lit(0)).alias("words")), find)
 
 
-def _likely(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
-    """Rows whose key may be in wanted: all that are, and few of the others while wanted has less than some millions of rows.
-
-    The keys' hashes are bits of a table that is sent to every task and never has more than
-    MOST_BITS bits; a larger `wanted` lets more other rows through, and none is lost.
-    """
-    n = wanted.count()
-    if 4 * n > MOST_BITS:
-        return rows
-    bits = min(MOST_BITS, 1 << max(10, (32 * n - 1).bit_length()))
-    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(bits))
-    mask = wanted.select(slot(wanted_key).alias("slot")).groupBy(F.shiftright("slot", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("__mask"))
-    marked = rows.withColumn("__slot", slot(key))
-    marked = marked.join(F.broadcast(mask), F.shiftright("__slot", 6) == F.col("__word")).filter(F.expr("shiftrightunsigned(__mask, cast(__slot & 63 as int)) & 1") == 1)
-    return marked.drop("__slot", "__word", "__mask")
-
-
 def _term(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), f"^{MARKS}++|(?<!{MARKS}){MARKS}++$", "")
 
@@ -253,7 +234,7 @@ def sanitise(
     most = entities.filter(F.col("df_e") < total).agg(F.max(F.col("df_e") * F.pow(n / F.col("df_e"), F.lit(1 - threshold)))).first()[0] or 0.0
     candidates = scratch.keep(held.select(F.explode("terms").alias("term")).distinct(), "candidates")
     every = docs.select("id", F.explode(_terms(F.col("text"))).alias("term"))
-    frequency = frequencies(_likely(every, F.col("term"), candidates, F.col("term")), ["term"]).withColumnRenamed("n", "df_t")
+    frequency = frequencies(likely(every, F.col("term"), candidates, F.col("term")), ["term"]).withColumnRenamed("n", "df_t")
     rare = scratch.keep(frequency.filter(F.col("df_t") <= most * 1.000001).join(candidates, "term", "left_semi"), "rare")
 
     # Entities by row, with their counts, meet the row's rare terms. With one document in common a term may disclose
@@ -261,7 +242,7 @@ def sanitise(
     same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.digest") == F.col(f"{b}.digest"))
     known = held.select("id", "digest", F.explode("entities").alias("entity")).join(entities, "entity").filter(F.col("df_e") < total)
     known = scratch.keep(known.groupBy("id", "digest").agg(F.min("df_e").alias("least"), F.collect_set(F.struct("entity", "df_e")).alias("known")), "known")
-    seen = _likely(held.select("id", "digest", F.explode("terms").alias("term")), F.col("term"), rare, F.col("term")).join(rare, "term")
+    seen = likely(held.select("id", "digest", F.explode("terms").alias("term")), F.col("term"), rare, F.col("term")).join(rare, "term")
     pairs = seen.alias("s").join(known.alias("k"), same("s", "k")).select("s.id", "s.term", "s.df_t", "k.least", "k.known")
     sure = discloses(F.lit(1), F.col("df_t"), F.col("least")) if min_support <= 1 else F.lit(False)
     maybe = F.filter("known", lambda e: discloses(F.least(F.col("df_t"), e["df_e"]), F.col("df_t"), e["df_e"]))
@@ -273,11 +254,11 @@ def sanitise(
 
     # A disclosing term is marked in every document: first the documents that have one, then the places in these.
     having = docs.select("id", "digest", F.explode(_terms(F.col("text"))).alias("term"))
-    having = _likely(having, F.col("term"), disclosing, F.col("term")).join(disclosing, "term", "left_semi")
+    having = likely(having, F.col("term"), disclosing, F.col("term")).join(disclosing, "term")  # a semi-join would be moved below the filter
     having = scratch.keep(having.groupBy("id", "digest").agg(F.collect_set("term").alias("terms")), "having")
-    spans = _likely(kept.select("id", "digest", "base"), F.col("digest"), having, F.col("digest")).dropDuplicates(["id", "digest"])
+    spans = likely(kept.select("id", "digest", "base"), F.col("digest"), having, F.col("digest")).dropDuplicates(["id", "digest"])
     wanted = having.alias("h").join(spans.alias("s"), same("h", "s")).select("h.id", "h.digest", _buckets(F.col("terms")).alias("buckets"), "base")
-    texts = _likely(docs, F.col("digest"), having, F.col("digest")).dropDuplicates(["id", "digest"])
+    texts = likely(docs, F.col("digest"), having, F.col("digest")).dropDuplicates(["id", "digest"])
     parts = texts.alias("t").join(wanted.alias("h"), same("t", "h")).select("t.id", "t.digest", "h.buckets", _clear(F.col("t.text"), F.col("h.base")).alias("parts"))
     placed = lambda p: F.transform(_places(p["part"], F.col("buckets")), lambda w: F.struct(F.lit("term").alias("kind"), (p["at"] + w["start"]).alias("start"), (p["at"] + w["end"]).alias("end"), w["value"].alias("value")))
     places = scratch.keep(parts.select("id", "digest", F.flatten(F.transform("parts", placed)).alias("places")), "places")

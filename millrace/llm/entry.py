@@ -106,33 +106,34 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM
 """
 
 
-#: All windows of whole lines, without fingerprints; the first place of each stays.
+#: All windows of 50 words and all lines of 5 words at 20 places, without fingerprints; the first place of each stays.
 LINES_SQL = r"""
-WITH l AS (
-  SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL
-), n AS (
-  SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM l
-), w AS (
-  SELECT doc_id, k, ls[k] AS line, len(regexp_extract_all(ls[k], '[^\x20\x09-\x0D]+')) AS c FROM n
-), s AS (
-  SELECT doc_id, k, c, sum(c) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM w
+WITH d AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS p FROM documents WHERE text IS NOT NULL
 ), win AS (
-  SELECT a.doc_id, a.k AS i, min(b.k) AS j FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto - a.upto + a.c >= 50 WHERE a.c > 0 GROUP BY a.doc_id, a.k
+  SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+), n AS (
+  SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d)
+), l AS (
+  SELECT doc_id, k, regexp_extract_all(ls[k], '[^\x20\x09-\x0D]+') AS w FROM n
+), at AS (
+  SELECT doc_id, k, len(w) AS c, array_to_string(w, ' ') AS s, 1 + sum(len(w)) OVER (PARTITION BY doc_id ORDER BY k) - len(w) AS i FROM l
 ), f AS (
-  SELECT doc_id, i, j, row_number() OVER (PARTITION BY list_slice(ls, i, j) ORDER BY doc_id, i) AS place FROM win JOIN l USING (doc_id)
+  SELECT doc_id, i, 50 AS c, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS place, 2 AS places FROM win
+  UNION ALL
+  SELECT doc_id, i, c, row_number() OVER (PARTITION BY s ORDER BY doc_id, i), if(count(*) OVER (PARTITION BY s) >= 20, 2, 1) FROM at WHERE c >= 5
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS k FROM f WHERE place > 1
+  SELECT DISTINCT doc_id, unnest(range(i, i + c)) AS k FROM f WHERE place > 1 AND places > 1
 ), runs AS (
   SELECT doc_id, min(k) - 1 AS a, max(k) AS b FROM (SELECT doc_id, k, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM gone) GROUP BY doc_id, run
 ), removed AS (
-  SELECT doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS removed FROM runs GROUP BY doc_id
+  SELECT doc_id, string_agg(a::BIGINT || '-' || b::BIGINT, ',' ORDER BY a) AS removed, sum(b - a)::BIGINT AS n_removed FROM runs GROUP BY doc_id
 ), kept AS (
-  SELECT w.doc_id, count(*) AS n_lines, count(gone.k) AS n_removed, string_agg(line, chr(10) ORDER BY w.k) FILTER (gone.k IS NULL) AS text, sum(c) FILTER (gone.k IS NULL) AS words
-  FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id AND w.k = gone.k GROUP BY w.doc_id
+  SELECT u.doc_id, string_agg(p, '' ORDER BY u.k) AS text FROM (SELECT doc_id, unnest(p) AS p, unnest(range(1, len(p) + 1)) AS k FROM d) u ANTI JOIN gone ON u.doc_id = gone.doc_id AND u.k = gone.k GROUP BY u.doc_id
 )
-SELECT doc_id, CASE WHEN n_removed > 0 AND coalesce(words, 0) = 0 THEN '' ELSE kept.text END AS text,
-  coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
-FROM (SELECT doc_id FROM documents) LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
+SELECT x.doc_id, CASE WHEN n_removed IS NULL THEN x.text WHEN kept.text IS NULL THEN '' ELSE regexp_extract(x.text, '^[\x20\x09-\x0D]*') || kept.text END AS text,
+  coalesce(len(d.w), 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed
+FROM documents x LEFT JOIN d ON x.doc_id = d.doc_id LEFT JOIN removed ON x.doc_id = removed.doc_id LEFT JOIN kept ON x.doc_id = kept.doc_id
 """
 
 

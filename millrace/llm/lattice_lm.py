@@ -7,19 +7,28 @@ and that of a word is the sum over all ways to cut it into pieces, by the forwar
 recursion in log space. Single characters can also be spelt in byte pieces, so that
 every text has a probability.
 
-Piece weights start from the vocabulary's scores. The vocabulary on hand ranks its
-pieces (score = -rank), so the scores are read as a Zipf prior worth PRIOR pieces,
-and the pieces of the training documents' words are counted on top of it.
+Piece weights start from the vocabulary's scores: probabilities where they are log
+probabilities, and where they only rank the pieces (score = -rank, as in the vocabulary
+on hand) a Zipf prior. Worth PRIOR pieces, they are joined by the pieces of the training
+documents' words. With learn=False the vocabulary's scores alone give the score.
+
+The words of the training documents, and the end, are further edges, over whole words. A
+word with c of N training tokens, of V kinds, has the edge weight c / (N + V), and all
+other ways through its lattice share V / (N + V), the rate of new words so far (Witten
+and Bell). So the marginal probability of a word is their sum; a word never seen is
+spelt from pieces.
 
 Word counts come from all training documents: summed per task, then by word; each
-distinct word's lattice is worked out once. Scoring needs each word's numbers again. Words at or above a count that at most HEAD words reach
-are sent to the tasks, a table of bounded size; the rest are joined by word, where no
-word is frequent any more. Nothing else is sent, and nothing is capped.
+distinct word's lattice is worked out once. Scoring needs each word's numbers again. Words
+at or above a count that at most HEAD words reach are sent to the tasks, a table of
+bounded size; the rest are joined by word, where no word is frequent any more. Nothing
+else is sent, and nothing is capped.
 
 Definitions for odd input: a null text counts as empty, which is one end token; rows
 are scored one by one, so repeated rows and rows sharing an id each get their score; a
 null id counts as empty text for the split; without training rows every word has count
-0 and the pieces their prior.
+0 and the pieces their prior; texts and words of any length are scored whole; an empty
+table gives an empty result; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -50,10 +59,14 @@ class Vocabulary:
         ids = range(self.model.get_piece_size())
         self.ids = [i for i in ids if not (self.model.is_control(i) or self.model.is_unknown(i))]
         self.size = self.model.get_piece_size()
-        order = sorted(self.ids, key=lambda i: (-self.model.get_score(i), i))
+        scores = {i: self.model.get_score(i) for i in self.ids}
         self.prior = np.zeros(self.size)
-        for rank, i in enumerate(order):
-            self.prior[i] = 1 / (rank + 10)
+        if all(x == int(x) for x in scores.values()):  # ranks
+            for rank, i in enumerate(sorted(self.ids, key=lambda i: (-scores[i], i))):
+                self.prior[i] = 1 / (rank + 10)
+        else:
+            self.prior[self.ids] = np.exp([scores[i] for i in self.ids])
+            self.prior[self.prior == 0] = self.prior[self.prior > 0].min()
         self.prior[self.model.eos_id()] = 1 / 100
         self.prior *= PRIOR / self.prior.sum()
 
@@ -193,14 +206,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "held_out").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def word_scores(counts: DataFrame, vocabulary_path: str, weights: np.ndarray) -> DataFrame:
-    """word, n, log: the lattice's log probability (natural) of each word, worked out once."""
+def with_words(log: np.ndarray, count: np.ndarray, tokens: int, kinds: int) -> np.ndarray:
+    """The log probabilities of lattices to which an edge for the whole word is added, which stands count times in the training tokens."""
+    if not tokens:
+        return log
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(count), math.log(kinds) + log) - math.log(tokens + kinds)
+
+
+def word_scores(counts: DataFrame, vocabulary_path: str, weights: np.ndarray, tokens: int, kinds: int) -> DataFrame:
+    """word, n, log: the log probability (natural) of each word, worked out once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = None
         for batch in batches:
             lattice = lattice or Lattice(Vocabulary(vocabulary_path), weights)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lattice.words(batch.column(0).to_pylist()), pa.float64())], names=["word", "n", "log"])
+            log = with_words(lattice.words(batch.column(0).to_pylist()), batch.column(1).to_numpy().astype(float), tokens, kinds)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(log, pa.float64())], names=["word", "n", "log"])
 
     return counts.select("word", "n").mapInArrow(run, "word binary, n long, log double")
 
@@ -247,6 +269,7 @@ def lattice_scores(
     folds: int = 7,
     held_fold: int = 2,
     head: int = HEAD,
+    learn: bool = True,
 ) -> DataFrame:
     """Per row of df: id, held_out, n_tokens, n_known, train_tokens, base_score (add-one words), score (lattice); log10."""
     spark = session_of(df)
@@ -258,11 +281,12 @@ def lattice_scores(
     distinct, running = counts.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
     n, v = running + ends, distinct + (ends > 0)
     base_log = math.log10(n + v + 1)
-    weights = piece_weights(counts.filter("n > 0"), vocabulary_path, ends)
-    words = scratch.keep(word_scores(counts, vocabulary_path, weights), "words")
+    weights = piece_weights(counts.filter("n > 0"), vocabulary_path, ends) if learn else Vocabulary(vocabulary_path).prior
+    learnt = (int(n), int(v)) if learn else (0, 0)
+    words = scratch.keep(word_scores(counts, vocabulary_path, weights, *learnt), "words")
     scratch.drop(counts)
     frequent, least = _head(words, head)
-    end_log = Lattice(Vocabulary(vocabulary_path), weights).end
+    end_log = float(with_words(np.array([Lattice(Vocabulary(vocabulary_path), weights).end]), np.array([float(ends)]), *learnt)[0])
     sent = spark.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

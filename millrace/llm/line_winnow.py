@@ -1,162 +1,266 @@
 """Line dedup by winnowing over line hashes.
 
-A window is a shortest run of consecutive lines with at least `min_words` words. Its
-fingerprint is the line of the run with the least hash (the last one of equals), so
-any passage of whole lines with that many words has, wherever it occurs, the same
-windows and the same fingerprints: no repeat is missed. Windows next to each other
-mostly share their minimum, so fingerprints are fewer than lines.
-
-1. Fingerprints are counted over all documents; those at one place only are dropped.
-2. Around the places of the rest, matches are extended both ways: each window that the
-   fingerprint stands for is a piece of the run, compared whole by its 128-bit hash.
-   Pieces that occur at an earlier place, by document id and then line, are repeats,
-   and pieces that touch or overlap make up the whole repeated run.
-3. The lines of repeated runs are deleted; the first occurrence stays.
+A passage may begin and end inside a line, where hashes of written lines give no
+guarantee. So the lines that are winnowed are rolling ones: at every word of a text a
+line of LINE words begins. A window is `min_words` consecutive words, and its fingerprint
+the least hash of the rolling lines in it: any passage of that many words has, wherever
+it stands, the same windows and the same fingerprints, so no repeat is missed. Windows
+next to each other mostly share their minimum; those that do are a piece, and pieces are
+some 2 / (min_words - LINE + 2) of the words.
+
+1. The places of fingerprints are counted over all documents; those at one place only are
+   dropped.
+2. Equal pieces, by a 128-bit hash of all their words, are joined by their positions: all
+   but the first, by document id and then place, are repeats as a whole.
+3. A fingerprint with several different pieces stands where matches begin or end. There
+   the first place of each piece is extended to the exact borders: its windows are
+   compared one by one, and those that occur at an earlier place are repeats.
+4. Repeats that touch or overlap make up the whole repeated run. The words of repeated runs
+   are deleted, with the white space behind them; the first occurrence stays.
+
+With `line_places`, a written line of `line_words` words or more that stands at so many
+places is a repeated run as well, however short, at all places but its first.
 
 Each step is a count or a minimum by key, summed map-side, and a join against one row
-per key: a line in a third of all documents is a hot key for no task, and the places
-of a line are never paired with each other.
-
-Definitions for odd input: a null text stays null and an empty one empty; lines
-without words belong to the run that they stand in, and never start one; a run that
-repeats within one document is deleted at its later place; a document that loses all
-lines that have words ends with an empty text; rows are told apart by id and, if
-several share an id, by their text (equal rows are one document and get equal
-results); a row with a null id is left as it is.
+per key, which Spark can split where a key is frequent; the places of a line are never
+paired with each other. Only texts that change are shuffled.
+
+Definitions for odd input: words are told apart by their bytes, and lines and passages by
+their words, whatever the white space between them; a null text stays null and an empty
+one empty; a run that repeats within one document is deleted at its later place; a
+document that loses all its words ends with an empty text; rows are told apart by id and,
+if several share an id, by their text (equal rows are one document and get equal
+results); a row with a null id is left as it is; texts of any length are taken whole; an
+empty table gives an empty result; columns of the input that have the name of one of the
+three new columns are replaced by it.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, session_of
+from millrace.llm.common import Scratch, fresh, likely, session_of, unlikely
+
+MIN_WORDS, LINE, LINE_WORDS, LINE_PLACES = 50, 16, 5, 20
+NEW = ("n_words", "n_removed", "removed")
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
+
+class Passages:
+    """128-bit hashes of any runs of words of a text: differences of running sums of the words' hashes times powers of a base."""
+
+    _powers: list[np.ndarray] = []
+
+    def __init__(self, words: list[bytes]):
+        self.n = len(words)
+        each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, self.n)
+        self._prepare(self.n)
+        self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum((each if k == 0 else (each ^ (each >> np.uint64(29))) * _MIX) * self._powers[2 * k][: self.n])]) for k in range(2)]
 
-MIN_WORDS = 50
+    @classmethod
+    def _prepare(cls, n: int) -> None:
+        """Powers of each base and of its inverse modulo 2**64, for n words."""
+        if cls._powers and len(cls._powers[0]) > n:
+            return
+        size = max(4096, 2 * n)
+        cls._powers = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, b, np.uint64))]) for base in _BASES for b in (base, pow(base, -1, 1 << 64))]
 
+    def hashes(self, start: np.ndarray, length: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for k in range(2):
+            h = (self.sums[k][start + length] - self.sums[k][start]) * self._powers[2 * k + 1][start]
+            h = (h ^ (h >> np.uint64(32))) * _MIX
+            out.append((h ^ (h >> np.uint64(29))).view(np.int64))
+        return out[0], out[1]
 
-def windows(text: str, min_words: int) -> list[tuple[int, int, bytes, tuple[int, int]]]:
-    """(first line, lines, hash of the run, fingerprint: hash and negative place of the least line) for every window of the text."""
-    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    words = [len(x.split()) for x in lines]
-    hashes = list(map(xxhash.xxh3_64_intdigest, lines))
-    out, end, held = [], 0, 0
-    for start in range(len(lines)):
-        while end < len(lines) and held < min_words:
-            held += words[end]
-            end += 1
-        if held < min_words:
-            break
-        if words[start]:
-            whole = xxhash.xxh3_128_digest(b"".join(h.to_bytes(8, "little") for h in hashes[start:end]))
-            out.append((start, end - start, whole, min((hashes[k], -k) for k in range(start, end) if words[k])))
-        held -= words[start]
-    return out
+    def pieces(self, min_words: int, line: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First windows, numbers of windows, fingerprints of the pieces, and how often a piece holds its fingerprint."""
+        windows = self.n - min_words + 1
+        if windows < 1:
+            return (np.empty(0, np.int64),) * 4
+        lines = self.hashes(np.arange(self.n - line + 1), line)[0]
+        width = min_words - line + 1
+        least = _sliding_min(lines, width)
+        start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        # One place of a fingerprint stands for at most `width` windows; more are several places, next to each other.
+        parts = -(-np.diff(np.append(start, windows)) // width)
+        start = np.repeat(start, parts) + (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * width
+        n, places = np.diff(np.append(start, windows)), np.ones(len(start), np.int64)
+        if len(np.unique(lines)) < len(lines):
+            places = np.array([np.count_nonzero(lines[a : a + k + width - 1] == m) for a, k, m in zip(start, n, least[start], strict=True)])
+        return start, n, least[start], places
 
 
-def _fingerprints(df: DataFrame, min_words: int) -> DataFrame:
-    """id, digest, mark (fingerprint), runs: the windows that it stands for, next to each other."""
+def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of each `width` neighbours, by running minima of blocks from both ends."""
+    n = len(x)
+    blocks = np.concatenate([x, np.full(-n % width, np.iinfo(x.dtype).max, x.dtype)]).reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, 1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
+    return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
+
+
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").split()
+
+
+def text_digest(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _marks(df: DataFrame, min_words: int, line: int, line_words: int) -> DataFrame:
+    """id, digest, mark, start, n, low, high, places: pieces (n windows; low and high their hash) and written lines (n words, negative)."""
+    schema = pa.schema([(c, pa.int64()) for c in ("id", "digest", "mark", "start", "n", "low", "high", "places")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, digests, marks, runs = [], [], [], []
+            columns: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in schema]
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
-                digest = text_digest(text)
-                last = None
-                for start, lines, whole, mark in windows(text, min_words):
-                    if mark != last:
-                        ids.append(i)
-                        digests.append(digest)
-                        marks.append(mark[0] - (1 << 63))
-                        runs.append([])
-                        last = mark
-                    runs[-1].append({"start": start, "lines": lines, "whole": whole})
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("lines", pa.int32()), ("whole", pa.binary())]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array(marks, pa.int64()), pa.array(runs, kind)], names=["id", "digest", "mark", "runs"])
+                passages = Passages(words_of(text))
+                start, n, mark, places = passages.pieces(min_words, line)
+                low, high = passages.hashes(start, n + min_words - 1)
+                if line_words:
+                    length = np.array([len(x.split()) for x in text.encode("utf-8", "surrogatepass").split(b"\n")])
+                    begin = (np.cumsum(length) - length)[length >= line_words]
+                    length = length[length >= line_words]
+                    whole, other = passages.hashes(begin, length)
+                    start, n, mark = np.append(start, begin), np.append(n, -length), np.append(mark, whole)
+                    low, high, places = np.append(low, whole), np.append(high, other), np.append(places, np.ones(len(whole), np.int64))
+                for column, values in zip(columns, (np.full(len(start), i), np.full(len(start), text_digest(text)), mark, start, n, low, high, places), strict=True):
+                    column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], schema=schema)
 
-    return df.mapInArrow(run, "id long, digest long, mark long, runs array<struct<start:int,lines:int,whole:binary>>")
+    return df.mapInArrow(run, "id long, digest long, mark long, start long, n long, low long, high long, places long")
 
 
-def text_digest(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+def _windows(docs: DataFrame, ranges: DataFrame, min_words: int) -> DataFrame:
+    """id, start, digest, low, high: the windows of the ranges (id, ranges: digest, start, n), each once."""
+    schema = pa.schema([(c, pa.int64()) for c in ("id", "start", "digest", "low", "high")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in schema]
+            for i, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                text = text.as_py()
+                digest = text_digest(text)
+                starts = [np.arange(r["start"], r["start"] + r["n"]) for r in wanted if r["digest"] == digest]
+                if starts:
+                    at = np.unique(np.concatenate(starts))
+                    low, high = Passages(words_of(text)).hashes(at, min_words)
+                    for column, values in zip(columns, (np.full(len(at), i), at, np.full(len(at), digest), low, high), strict=True):
+                        column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], schema=schema)
 
+    texts = likely(docs, F.col("id"), ranges, F.col("id")).join(ranges, "id").select("id", "text", "ranges").dropDuplicates(["id", "text"])
+    return texts.mapInArrow(run, "id long, start long, digest long, low long, high long")
 
-def repeated_runs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
-    """id, digest, runs (array of start and lines): where a document repeats what came before."""
+
+def repeated_runs(
+    df: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_words: int = MIN_WORDS,
+    line: int = LINE,
+    line_words: int = LINE_WORDS,
+    line_places: int | None = LINE_PLACES,
+    scratch: Scratch | None = None,
+) -> DataFrame:
+    """id, runs (array of digest, start, words): where a document repeats what came before."""
     scratch = scratch or Scratch(session_of(df), "lines")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
-    marks = scratch.keep(_fingerprints(docs, min_words), "marks")
-    often = marks.groupBy("mark").agg(F.count("*").alias("places")).filter("places > 1").select("mark")
-    pieces = marks.join(often, "mark", "left_semi").select("id", "digest", F.explode("runs").alias("r")).select("id", "digest", "r.start", "r.lines", "r.whole")
-    pieces = scratch.keep(pieces, "pieces")
+    marks = scratch.keep(_marks(docs, min_words, min(line, min_words), line_words if line_places else 0), "marks")
+    place = F.struct("id", "start", "digest")
+    counted = marks.groupBy("mark", (F.col("n") < 0).alias("written")).agg(F.sum("places").alias("places"))
+    often = counted.filter(F.col("places") >= F.when(F.col("written"), F.lit(line_places)).otherwise(2)).select("mark", "written")
+    held = scratch.keep(marks.join(often, (marks["mark"] == often["mark"]) & ((marks["n"] < 0) == often["written"]), "left_semi"), "held")
     scratch.drop(marks)
-    # Where several places hold the same run, the first is the smallest (id, start, digest).
-    first = pieces.groupBy("whole").agg(F.min(F.struct("id", "start", "digest")).alias("first"), F.max(F.struct("id", "start", "digest")).alias("last"))
-    first = first.filter("first < last").select("whole", "first")
-    later = pieces.join(first, "whole").filter(F.struct("id", "start", "digest") > F.col("first"))
-    return later.groupBy("id", "digest").agg(F.collect_set(F.struct("start", "lines")).alias("runs"))
+    pieces = held.groupBy("mark", "n", "low", "high").agg(F.min(place).alias("first"), F.max("places").alias("places"))
+    pieces = scratch.keep(pieces, "pieces")
+    later = held.join(pieces, ["mark", "n", "low", "high"]).filter(place > F.col("first"))
+    later = later.select("id", "digest", "start", F.when(F.col("n") < 0, -F.col("n")).otherwise(F.col("n") + (min_words - 1)).alias("words"))
+
+    several = pieces.filter("n > 0").groupBy("mark").agg(F.sum("places").alias("kinds")).filter("kinds > 1").select("mark")
+    borders = pieces.filter("n > 0").join(several, "mark", "left_semi").select("first.id", F.struct("first.digest", "first.start", "n").alias("r"))
+    ranges = scratch.keep(borders.groupBy("id").agg(F.collect_set("r").alias("ranges")), "ranges")
+    windows = scratch.keep(_windows(docs, ranges, min_words), "windows")
+    first = windows.groupBy("low", "high").agg(F.min(place).alias("first"), F.count("*").alias("places")).filter("places > 1").select("low", "high", "first")
+    exact = windows.join(first, ["low", "high"]).filter(place > F.col("first")).select("id", "digest", "start", F.lit(min_words).cast("long").alias("words"))
+    return later.union(exact).groupBy("id").agg(F.collect_set(F.struct("digest", "start", "words")).alias("runs"))
 
 
 def without_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]], int]:
-    """The text without the lines of the runs, the merged runs as (first line, past the last), and lines left that have words."""
-    lines = text.split("\n")
+    """The text without the words of the runs (first word, words), the merged runs as (first word, past the last), and the words left."""
+    data = text.encode("utf-8", "surrogatepass")
+    at = [m.start() for m in _WORD.finditer(data)]
     merged: list[list[int]] = []
     for start, n in sorted(runs):
         if merged and start <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], start + n)
         else:
             merged.append([start, start + n])
-    left, at = [], 0
+    left, done = [], 0
     for start, end in merged:
-        left += lines[at:start]
-        at = end
-    left += lines[at:]
-    return "\n".join(left), [(a, b) for a, b in merged], sum(bool(x.encode("utf-8", "surrogatepass").split()) for x in left)
+        left.append(data[done : at[start]])
+        done = at[end] if end < len(at) else len(data)
+    words = len(at) - sum(b - a for a, b in merged)
+    return (b"".join([*left, data[done:]]).decode("utf-8", "surrogatepass") if words else ""), [(a, b) for a, b in merged], words
 
 
-def drop_repeated_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, keep_emptied: bool = True) -> DataFrame:
-    """df with repeated runs deleted from text_col, and n_lines, n_removed (lines) and removed ("from-to" of lines, counted from 0, the end excluded).
+def drop_repeated_lines(
+    df: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_words: int = MIN_WORDS,
+    line_words: int = LINE_WORDS,
+    line_places: int | None = LINE_PLACES,
+    keep_emptied: bool = True,
+) -> DataFrame:
+    """df with repeated runs deleted from text_col, and n_words (before), n_removed (words) and removed ("from-to" of words, counted from 0, the end excluded).
 
     With keep_emptied false, documents that had words and lost all of them go.
     """
     scratch = Scratch(session_of(df), "lines")
-    runs = repeated_runs(df, id_col=id_col, text_col=text_col, min_words=min_words, scratch=scratch)
-    runs = scratch.keep(runs.select("id", "digest", F.col("runs").alias("__runs")), "runs")
-    by_id = runs.groupBy("id").agg(F.collect_list(F.struct("digest", "__runs")).alias("__by_text"))
-    joined = df.join(by_id.hint("shuffle_hash"), df[id_col].cast("long") == by_id["id"], "left").select(df["*"], "__by_text")
-    at = df.columns.index(text_col)
-    fields = [f for f in df.schema.fields]
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in NEW or c in (id_col, text_col)])
+    runs = repeated_runs(df, id_col=id_col, text_col=text_col, min_words=min_words, line_words=line_words, line_places=line_places, scratch=scratch)
+    id_name, runs_name = fresh(df, "id", "runs")
+    runs = scratch.keep(runs, "runs").select(F.col("id").alias(id_name), F.col("runs").alias(runs_name))
+    key = F.col(f"`{id_col}`").cast("long")
+    changed = likely(df, key, runs, F.col(id_name)).join(runs, key == F.col(id_name), "left").drop(id_name)
+    same = unlikely(df, key, runs, F.col(id_name)).withColumn(runs_name, F.lit(None).cast(runs.schema[runs_name].dataType))
+    at, fields = df.columns.index(text_col), list(df.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, removed, spans, keep = [], [], [], [], []
-            for text, by_text in zip(batch.column(at), batch.column(len(fields)), strict=True):
-                text, by_text = text.as_py(), by_text.as_py()
-                found = []
-                if by_text:
-                    digest = text_digest(text)
-                    found = next((r["__runs"] for r in by_text if r["digest"] == digest), [])
-                counts.append(0 if text is None else text.count("\n") + 1)
+            for text, found in zip(batch.column(at), batch.column(len(fields)), strict=True):
+                text, found = text.as_py(), found.as_py()
+                counts.append(len(words_of(text or "")))
+                if found:
+                    digest = text_digest(text) if text is not None else None
+                    found = [(r["start"], r["words"]) for r in found if r["digest"] == digest]
+                merged: list[tuple[int, int]] = []
                 if found:
-                    text, merged, worded = without_runs(text, [(r["start"], r["lines"]) for r in found])
-                    text = text if worded else ""
-                    removed.append(sum(b - a for a, b in merged))
-                    spans.append(",".join(f"{a}-{b}" for a, b in merged))
-                    keep.append(worded > 0)
-                else:
-                    removed.append(0)
-                    spans.append("")
-                    keep.append(True)
+                    text, merged, _ = without_runs(text, found)
                 texts.append(text)
+                removed.append(sum(b - a for a, b in merged))
+                spans.append(",".join(f"{a}-{b}" for a, b in merged))
+                keep.append(not removed[-1] or removed[-1] < counts[-1])
             columns = [*batch.columns[: len(fields)], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.string())]
             columns[at] = pa.array(texts, pa.string())
-            out = pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in fields), "n_lines", "n_removed", "removed"])
+            out = pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in fields), *NEW])
             yield out if keep_emptied else out.filter(pa.array(keep, pa.bool_()))
 
-    schema = joined.drop("__by_text").schema.add("n_lines", "long").add("n_removed", "long").add("removed", "string")
-    return joined.mapInArrow(run, schema)
+    schema = df.schema.add("n_words", "long").add("n_removed", "long").add("removed", "string")
+    return changed.unionByName(same).mapInArrow(run, schema)

@@ -6,7 +6,8 @@ archives that finished tasks wrote: what a lost or repeated task left behind is
 table and is never read.
 
 `ArchiveSource` (format "millrace_archive") reads them. The driver only looks at the
-archives' names and sizes and plans byte ranges of them; a task reads the directory at
+archives' names and sizes and plans byte ranges of them, larger ones where there would be
+more than MOST_RANGES; a task reads the directory at
 the end of its archive, takes the members whose offset lies in its range, and streams
 their payloads in Arrow batches of bounded bytes. Each member is read by its own
 offset, checked by CRC and length, and read again by itself, after opening the file
@@ -42,7 +43,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from millrace.llm.common import Scratch, session_of
 
 PAD, RATE = 192, 8000
-ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, MEMBERS = 64 << 20, 8 << 20, 8 << 20, 20_000
+ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, MEMBERS, MOST_RANGES = 64 << 20, 8 << 20, 8 << 20, 20_000, 100_000
 
 
 # -- one media file -----------------------------------------------------------
@@ -76,6 +77,9 @@ def sound_features(samples: bytes) -> str:
 
 # -- archives -----------------------------------------------------------------
 def open_fs(url: str) -> tuple[pafs.FileSystem, str]:
+    for hadoop, arrow in (("s3a://", "s3://"), ("s3n://", "s3://")):
+        if url.startswith(hadoop):
+            url = arrow + url[len(hadoop) :]
     return pafs.FileSystem.from_uri(url if "://" in url or url.startswith("file:") else f"file://{url}")
 
 
@@ -163,8 +167,9 @@ class ArchiveReader(DataSourceReader):
         self.retries = int(self.options.get("retries", 3))
 
     def partitions(self) -> list[ByteRange]:
-        step = int(self.options.get("range_bytes", RANGE_BYTES))
-        return [ByteRange(path, start, start + step) for path, size in self._archives() for start in range(0, max(size, 1), step)] or [ByteRange("", 0, 0)]
+        archives = self._archives()
+        step = max(int(self.options.get("range_bytes", RANGE_BYTES)), sum(size for _, size in archives) // MOST_RANGES)
+        return [ByteRange(path, start, start + step) for path, size in archives for start in range(0, max(size, 1), step)] or [ByteRange("", 0, 0)]
 
     def _archives(self) -> list[tuple[str, int]]:
         if "archives" in self.options:

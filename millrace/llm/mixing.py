@@ -5,7 +5,9 @@ Source shares p of the tokens become weights q = p^a / sum p^a. The exponent a i
 falls and repetition falls as a grows, so the largest a that reaches the target
 entropy is taken, or the smallest that keeps repetition within its limit if that is
 larger. The budget is a number of tokens, or by default the least one with which
-every document is used at least once.
+every document is used at least once. Repetition is the budget of a source over its
+tokens: no document is used more often than that, rounded up. A budget that exceeds the
+limit for any weights is an error.
 
 A source's budget is realised by block permutations. Each pass over the source is a
 permutation of its documents by a hash of seed, pass and id; whole passes come first,
@@ -19,7 +21,9 @@ and over the ranges' totals, so that a source of any size is never in one task.
 Definitions for odd input: null source is a source of its own; null or empty texts
 have no tokens, take no budget and stay in each pass that reaches them; a source
 without tokens has weight 0 and each of its documents is used once; repeated rows are
-used like different ones at the same place; an empty table gives an empty result.
+used like different ones at the same place; texts of any length are counted whole; an
+empty table gives an empty result; `mixed` keeps all columns whatever their names, and
+`mixture` reads none but the three that it is told.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, session_of
+from millrace.llm.common import Scratch, fresh, session_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a source in a range of the hash, on average, and most ranges of a source.
@@ -55,39 +59,47 @@ def source_totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("total"))
 
 
-def _measures(sources: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:
-    """(entropy, largest weight for each token over the smallest) at each exponent."""
+def _measures(sources: DataFrame, exponents: list[float], budget: float | None) -> list[tuple[float, float]]:
+    """(entropy, most uses of a source's tokens) at each exponent; without a budget, the source used least is used once."""
     total = float(sources.agg(F.sum("total")).first()[0])
     shares = sources.filter("total > 0").select((F.col("total") / total).alias("p"))
     sums = [f for a in exponents for f in (F.sum(F.pow("p", F.lit(a))), F.sum(F.pow("p", F.lit(a)) * F.log("p")))]
     got = shares.agg(F.min("p"), F.max("p"), *sums).first()
     low, high = got[0], got[1]
-    return [(math.log(z) - a * e / z, (high / low) ** (1 - a)) for a, z, e in zip(exponents, got[2::2], got[3::2], strict=True)]
+    uses = lambda a, z: (high / low) ** (1 - a) if budget is None else budget / total * low ** (a - 1) / z
+    return [(math.log(z) - a * e / z, uses(a, z)) for a, z, e in zip(exponents, got[2::2], got[3::2], strict=True)]
 
 
-def _bisect(sources: DataFrame, holds) -> float:
-    """The border in [0, 1] below which holds(entropy, repetition) is true; 1 if it is true everywhere."""
+def _bisect(sources: DataFrame, budget: float | None, holds) -> tuple[float, float]:
+    """The last exponent seen at which holds(entropy, uses), true up to a border in [0, 1], is true, and the first at which it isn't."""
     low, high = 0.0, 1.0
-    if holds(*_measures(sources, [1.0])[0]):
-        return 1.0
+    (first, last) = (holds(*m) for m in _measures(sources, [0.0, 1.0], budget))
+    if not first:
+        return 0.0, 0.0
+    if last:
+        return 1.0, 1.0
     for _ in range(ROUNDS):
         points = [low + (high - low) * k / (1 << LEVELS) for k in range(1, 1 << LEVELS)]
-        true = [holds(*m) for m in _measures(sources, points)]
+        true = [holds(*m) for m in _measures(sources, points, budget)]
         at = true.index(False) if False in true else len(points)
         edges = [low, *points, high]
         low, high = edges[at], edges[at + 1]
-    return low
+    return low, high
 
 
-def solve_exponent(sources: DataFrame, target_entropy: float, max_repeats: float) -> float:
+def solve_exponent(sources: DataFrame, target_entropy: float, max_repeats: float, budget: float | None = None) -> float:
     """target_entropy: a share of the largest possible, the logarithm of the number of sources."""
     n = sources.filter("total > 0").count()
+    if not n:
+        return 1.0
+    if budget is not None and _measures(sources, [1.0], budget)[0][1] > max_repeats * (1 + 1e-9):
+        raise ValueError(f"a budget of {budget} tokens uses some document more than {max_repeats} times with any weights")
     if n < 2:
         return 1.0
     wanted = target_entropy * math.log(n)
-    for_entropy = _bisect(sources, lambda entropy, _: entropy >= wanted)
-    for_repeats = _bisect(sources, lambda _, repeats: repeats > max_repeats)
-    return max(for_entropy, for_repeats if for_repeats < 1 else 0.0)
+    for_entropy = _bisect(sources, budget, lambda entropy, _: entropy >= wanted)[0]
+    for_repeats = _bisect(sources, budget, lambda _, uses: uses > max_repeats)[1]
+    return max(for_entropy, for_repeats)
 
 
 def plan(rows: DataFrame, scratch: Scratch, *, target_entropy: float, max_repeats: float, budget: float | None) -> DataFrame:
@@ -96,7 +108,7 @@ def plan(rows: DataFrame, scratch: Scratch, *, target_entropy: float, max_repeat
     rows: id, source, n_tokens.
     """
     sources = scratch.keep(source_totals(rows), "sources")
-    exponent = solve_exponent(sources, target_entropy, max_repeats)
+    exponent = solve_exponent(sources, target_entropy, max_repeats, budget)
     total = float(sources.agg(F.sum("total")).first()[0] or 1)
     power = F.when(F.col("total") > 0, F.pow(F.col("total") / total, F.lit(exponent))).otherwise(F.lit(0.0))
     z, least = sources.agg(F.sum(power), F.max(F.when(F.col("total") > 0, F.col("total") / power))).first()
@@ -179,8 +191,9 @@ def mixed(
     planned = plan(rows, scratch, target_entropy=target_entropy, max_repeats=max_repeats, budget=budget)
     uses = schedule(rows, planned, seed=seed, block_tokens=1 << 40)
     ends = uses.filter("not whole").groupBy("source").agg(F.max("place").alias("end"))
-    cuts = planned.join(ends, "source", "left").select(F.col("source").alias("__source"), F.col("passes").alias("__passes"), F.coalesce("end", F.lit(-1.0)).alias("__end"))
+    source, passes, end, use = fresh(df, "source", "passes", "end", "use")
+    cuts = planned.join(ends, "source", "left").select(F.col("source").alias(source), F.col("passes").alias(passes), F.coalesce("end", F.lit(-1.0)).alias(end))
     cuts = scratch.keep(cuts, "cuts")
-    joined = df.join(cuts, _key(df[source_col]) == cuts["__source"])
-    times = F.col("__passes") + (_place(seed, F.col("__passes"), df[id_col]) <= F.col("__end")).cast("int")
-    return joined.withColumn("__use", F.explode(F.array_repeat(F.lit(1), times))).select(*[df[c] for c in df.columns])
+    joined = df.join(cuts, _key(df[source_col]) == cuts[source])
+    times = F.col(passes) + (_place(seed, F.col(passes), df[id_col]) <= F.col(end)).cast("int")
+    return joined.withColumn(use, F.explode(F.array_repeat(F.lit(1), times))).select(*[df[c] for c in df.columns])

@@ -10,13 +10,17 @@ farther than a chi-square quantile are rejected.
 
 A step is one aggregation: rows are binned by distance (64 bins for a factor e) and
 each bin keeps its count, sums and cross-products, so that a group of any size
-arrives as some hundred rows. Groups with fewer than MIN_GROUP rows are judged by the
-estimate of all rows of their language, or where these are fewer too, of all rows. Variances have a floor, so that copies and
-constant statistics can't make a covariance singular.
+arrives as some hundred rows. Groups with fewer than MIN_GROUP rows, too few for a
+covariance of their own, are judged by the estimate of all rows of their language, or
+where these are fewer too, of all rows. To each variance the square of a least standard
+deviation is added, so that copies and constant statistics can't make a covariance
+singular. Medians and quartiles are read from counts on a grid of 1/GRID, so that they
+don't depend on the order of rows.
 
 Definitions for odd input: a null text counts as empty (no words, base_failed); null
 language or source is a group like any other; ties and repeated rows share a
-distance and so a verdict; an empty table gives an empty result.
+distance and so a verdict; texts of any length are counted whole; an empty table gives an
+empty result; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Scratch, session_of
@@ -38,7 +42,7 @@ COUNTERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 FEATURES = {"words": 0.5, "word_length": 0.06, "symbols": 0.06, "dup_lines": 0.12, "repeats": 0.12, "upper": 0.05}
 P = len(FEATURES)
 SHARE, STEPS, MIN_GROUP, TAIL = 0.75, 3, 200, 1e-12
-PER_E = 64
+PER_E, GRID = 64, 512
 
 
 def chi2_quantile(p: int, upper_tail: float) -> float:
@@ -157,11 +161,15 @@ def _reweight(bins: pd.DataFrame) -> pd.DataFrame:
 
 def _starts(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Start 0: medians and quartile widths; start 1: the same with the correlation of the spatial signs."""
-    quartiles = rows.groupBy("gid").agg(*[F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(P)])
-    floors = list(FEATURES.values())
-    wide = scratch.keep(
-        quartiles.select("gid", F.array(*[F.col(f"q{i}")[1] for i in range(P)]).alias("mid"), F.array(*[F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(floors[i])) for i in range(P)]).alias("scale")), "quartiles"
-    )
+    cells = rows.select("gid", F.posexplode("x").alias("i", "v")).groupBy("gid", "i", F.floor(F.col("v") * GRID).alias("cell")).agg(F.count("*").alias("held"))
+    by = Window.partitionBy("gid", "i")
+    ranked = cells.withColumn("upto", F.sum("held").over(by.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))).withColumn("every", F.sum("held").over(by))
+    at = lambda share: ((F.min(F.when(F.col("upto") >= F.col("every") * share, F.col("cell"))) + 0.5) / GRID).alias(f"q{int(100 * share)}")
+    quartiles = ranked.groupBy("gid", "i").agg(at(0.25), at(0.5), at(0.75))
+    floors = F.array(*map(F.lit, FEATURES.values()))
+    scale = F.greatest((F.col("q75") - F.col("q25")) / 1.349, F.get(floors, F.col("i")))
+    each = quartiles.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("i", F.col("q50").alias("mid"), scale.alias("scale")))).alias("each"))
+    wide = scratch.keep(each.select("gid", F.col("each.mid").alias("mid"), F.col("each.scale").alias("scale")), "quartiles")
     z = [(F.col("x")[i] - F.col("mid")[i]) / F.col("scale")[i] for i in range(P)]
     length = F.greatest(F.sqrt(sum((v * v for v in z), F.lit(0.0))), F.lit(1e-9))
     signs = rows.join(wide, "gid").select("gid", "mid", "scale", F.array(*[v / length for v in z]).alias("u"))
@@ -194,7 +202,7 @@ def robust_outliers(
     min_group: int = MIN_GROUP,
     tail: float = TAIL,
 ) -> DataFrame:
-    """Per row of df: id, the counters, base_failed, distance (squared; null if base_failed) and kept."""
+    """Per row of df: id, the counters, base_failed, kept and distance (squared; null if base_failed)."""
     scratch = Scratch(session_of(df), "mcd")
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     stats = scratch.keep(statistics(df, id_col, text_col, lang_col, source_col).withColumn("base_failed", failed), "stats")
@@ -212,4 +220,4 @@ def robust_outliers(
     far = F.when(~F.col("base_failed"), _distance(F.col("x"), F.col("mean"), F.col("precision")))
     judged = named.join(final.select("gid", "mean", "precision"), "gid", "left").withColumn("distance", far)
     inside = F.coalesce(F.col("distance") <= chi2_quantile(P, tail), F.lit(False))
-    return judged.select(F.col("id").alias(id_col), *COUNTERS, "base_failed", "distance", inside.alias("kept"))
+    return judged.select(F.col("id").alias(id_col), *COUNTERS, "base_failed", inside.alias("kept"), "distance")

@@ -12,8 +12,10 @@ id); scores cover all rows.
 
 Null texts count as empty and are scored like empty texts; repeated rows and equal
 texts get equal scores; a row without label, or with a null label, takes no part in
-the fit; ids with several labels take their rounded mean. Without any usable label
-all scores are 0.5. Further columns are never read.
+the fit; ids with several labels take their rounded mean, and of several rows of a
+labelled id the one with the least statistics is learnt from. Without any usable label
+all scores are 0.5. Texts of any length are counted whole; an empty table gives an empty
+result. Further columns are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -134,7 +136,8 @@ def learn(stats: DataFrame, labels: DataFrame, scratch: Scratch, *, id_col: str,
     share = min(1.0, max_train / max(1, known.count()))
     known = known.filter(order < int(share * (1 << 30)))
     calibrate = fold == (held_fold + folds - 1) % folds
-    train = stats.select(id_col, "stats").join(known, id_col).dropDuplicates([id_col]).select("stats", "label", F.when(calibrate, "calibrate").otherwise("fit").alias("part"))
+    once = stats.join(known, id_col).groupBy(id_col).agg(F.min("stats").alias("stats"), F.first("label").alias("label"))  # rows sharing an id: the least statistics
+    train = once.select("stats", "label", F.when(calibrate, "calibrate").otherwise("fit").alias("part"))
     return fit(scratch.keep(train.coalesce(FIT_PARTITIONS), "train"))
 
 
