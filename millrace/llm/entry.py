@@ -116,12 +116,12 @@ WITH d AS (
   SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d)
 ), l AS (
   SELECT doc_id, k, regexp_extract_all(ls[k], '[^\x20\x09-\x0D]+') AS w FROM n
-), at AS (
-  SELECT doc_id, k, len(w) AS c, array_to_string(w, ' ') AS s, 1 + sum(len(w)) OVER (PARTITION BY doc_id ORDER BY k) - len(w) AS i FROM l
+), placed AS (
+  SELECT doc_id, k, len(w) AS c, array_to_string(w, ' ') AS s, (1 + sum(len(w)) OVER (PARTITION BY doc_id ORDER BY k) - len(w))::BIGINT AS i FROM l
 ), f AS (
   SELECT doc_id, i, 50 AS c, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS place, 2 AS places FROM win
   UNION ALL
-  SELECT doc_id, i, c, row_number() OVER (PARTITION BY s ORDER BY doc_id, i), if(count(*) OVER (PARTITION BY s) >= 20, 2, 1) FROM at WHERE c >= 5
+  SELECT doc_id, i, c, row_number() OVER (PARTITION BY s ORDER BY doc_id, i), if(count(*) OVER (PARTITION BY s) >= 20, 2, 1) FROM placed WHERE c >= 5
 ), gone AS (
   SELECT DISTINCT doc_id, unnest(range(i, i + c)) AS k FROM f WHERE place > 1 AND places > 1
 ), runs AS (

@@ -95,7 +95,8 @@ class Passages:
         parts = -(-np.diff(np.append(start, windows)) // width)
         start = np.repeat(start, parts) + (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * width
         n, places = np.diff(np.append(start, windows)), np.ones(len(start), np.int64)
-        if len(np.unique(lines)) < len(lines):
+        ordered = np.sort(lines)
+        if (ordered[1:] == ordered[:-1]).any():
             places = np.array([np.count_nonzero(lines[a : a + k + width - 1] == m) for a, k, m in zip(start, n, least[start], strict=True)])
         return start, n, least[start], places
 
