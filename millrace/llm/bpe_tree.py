@@ -9,15 +9,21 @@ two ends are places where the tokens outside can't change:
   letter or sign, or a sign followed by a digit, and it looks ahead only behind
   white space. Such a change of kind is therefore a border between matches in any
   surroundings ("seam"), and what is encoded on either side of it is final.
-* Within one very long match there are no seams. There a join is final when the
-  tokens on both sides of each window end are what the merges give for those two
-  tokens alone: a token sequence is the encoding of its bytes if and only if each
-  neighbouring pair is.
+* Within one match there are no seams. Where the border lies so far inside a run of
+  characters of one kind, as in scripts without spaces, that it is inside one match, a
+  join is final when the tokens on both sides of each window end are what the merges
+  give for those two tokens alone: a token sequence is the encoding of its bytes if and
+  only if each neighbouring pair is.
+
+Kinds of characters are those on which the oldest character table at hand and the
+newest agree, so that no seam depends on the version of a library's tables.
 
 The join is associative, so any tree over the parts gives the same ids. Decoding
 concatenates the parts' bytes up the same kind of tree.
 
-Nulls and empty texts have no tokens. Texts of any length are encoded whole.
+Nulls and empty texts have no tokens. Texts of any length are encoded whole. Repeated rows
+give repeated results; an empty table gives an empty result; further columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -35,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters in a part that is encoded at once, and bytes of a single match above which it is halved itself.
-LEAF_CHARS, LONG_MATCH = 8192, 4096
+LEAF_CHARS, LONG_MATCH = 512, 4096
 WINDOW = 64
 
 
@@ -44,30 +51,22 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def _kind(c: str) -> int:
-    """0 white space, 1 letter, 2 number, 3 other: the classes of the splitting pattern."""
-    if c.isalpha():
-        return 1
-    if c.isspace() and c not in "\x1c\x1d\x1e\x1f":
-        return 0
-    return _other_kind(c)
-
-
-def _other_kind(c: str) -> int:
-    import unicodedata
+class _Kinds(dict):
+    """1 letter, 2 number, 3 other and, for the four plain ones, 0 white space: the classes of the splitting pattern; -1 where tables may differ."""
 
-    return {"L": 1, "N": 2}.get(unicodedata.category(c)[0], 3)
+    def __missing__(self, c: str) -> int:
+        old, new = unicodedata.ucd_3_2_0.category(c), unicodedata.category(c)
+        kind = {"L": 1, "N": 2, "M": 3, "P": 3, "S": 3}.get(new[0], -1)
+        self[c] = kind = kind if old[0] == new[0] and ord(c) > 126 or 32 < ord(c) < 127 else 0 if c in " \t\n\r" else -1
+        return kind
 
 
-#: Only for ASCII and Latin letters is a seam looked for; other characters are never taken for one.
-_PLAIN = {c: _kind(c) for c in map(chr, range(32, 127))} | {c: 0 for c in " \t\n\r"} | {c: 1 for c in map(chr, range(0xC0, 0x250)) if c.isalpha()}
+_KINDS = _Kinds()
+_SEAMS = {(1, 0), (2, 0), (3, 0), (1, 2), (2, 1), (1, 3), (2, 3), (3, 2)}
 
 
 def is_seam(left: str, right: str) -> bool:
-    a, b = _PLAIN.get(left, -1), _PLAIN.get(right, -1)
-    if a < 0 or b < 0 or a == b:
-        return False
-    return a > 0 and b == 0 or (a, b) in ((1, 2), (2, 1), (1, 3), (2, 3), (3, 2))
+    return (_KINDS[left], _KINDS[right]) in _SEAMS
 
 
 class TreeCodec:
@@ -115,6 +114,10 @@ class TreeCodec:
             high = next((i for i in range(middle, min(end, middle + width)) if i > start and is_seam(text[i - 1], text[i])), end if middle + width >= end else -1)
             if low >= 0 and high >= 0:
                 break
+            if width == WINDOW and middle - width > start and middle + width < end:
+                joined = self._join_inside(text[middle - width : middle], text[middle : middle + width], left, right)
+                if joined is not None:
+                    return joined
             width *= 2
         # Outside the seams both halves' tokens are final; the window's own tokens are counted by encoding its halves.
         old_left = len(self._leaf(text[low:middle])) if low < middle else 0
@@ -122,6 +125,24 @@ class TreeCodec:
         window = self._leaf(text[low:high]) if low < high else []
         return left[: len(left) - old_left] + window + right[old_right:]
 
+    def _join_inside(self, before: str, after: str, left: list[int], right: list[int]) -> list[int] | None:
+        """The join where all characters around the border are of one kind, so that it is inside one match; None if they aren't, or too few are near."""
+        kind = _KINDS[before[0]]
+        if kind < 1 or any(_KINDS[c] != kind for c in before) or any(_KINDS[c] != kind for c in after):
+            return None
+        # The first characters of a run may belong to another match, as those of 's do, and so are not used.
+        most = [len(before[8:].encode()), len(after.encode()) - 8]
+        take = 4
+        while True:
+            ends = left[-take:], right[:take]
+            sizes = [sum(len(self.bytes_of[t]) for t in x) for x in ends]
+            if sizes[0] > most[0] or sizes[1] > most[1] or take >= min(len(left), len(right)):
+                return None
+            window = self._merge_bytes(b"".join(self.bytes_of[t] for x in ends for t in x))
+            if self._holds(left[-take - 1], window[0]) and self._holds(window[-1], right[take]):
+                return left[:-take] + window + right[take:]
+            take *= 2
+
     # -- one long match ---------------------------------------------------
     def _merge(self, piece: bytes) -> list[int]:
         """The ids of one match, as the library gives them."""

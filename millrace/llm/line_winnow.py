@@ -37,7 +37,6 @@ three new columns are replaced by it.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,21 +49,67 @@ from millrace.llm.common import Scratch, fresh, likely, session_of, unlikely
 
 MIN_WORDS, LINE, LINE_WORDS, LINE_PLACES = 50, 16, 5, 20
 NEW = ("n_words", "n_removed", "removed")
-_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of texts that are worked on together, and of which words are hashed at once.
+CHUNK_BYTES = 1 << 18
+
+
+def word_edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of the bytes begin and end."""
+    white = np.concatenate([[True], _WHITE[data], [True]])
+    change = np.flatnonzero(white[1:] != white[:-1])
+    return change[::2], change[1::2]
+
+
+def word_counts(texts: pa.Array) -> np.ndarray:
+    """The number of words of each text; 0 for null."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    white = _WHITE[data]
+    begins = ~white
+    begins[1:] &= white[:-1]
+    first = ends[:-1][ends[:-1] < ends[1:]]
+    begins[first] = ~white[first]
+    return np.diff(np.concatenate([[0], np.cumsum(begins)])[ends])
 
 
 class Passages:
-    """128-bit hashes of any runs of words of a text: differences of running sums of the words' hashes times powers of a base."""
+    """128-bit hashes of any runs of words of some texts: differences of running sums of the words' hashes times powers of a base."""
 
     _powers: list[np.ndarray] = []
 
-    def __init__(self, words: list[bytes]):
-        self.n = len(words)
-        each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, self.n)
+    def __init__(self, texts: list[bytes]):
+        self.data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        begin, end = word_edges(self.data)
+        self.n = len(begin)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        #: Of each text, the first word and the one past the last.
+        self.last = np.searchsorted(begin, ends)
+        self.first = np.concatenate([[0], self.last[:-1]])
+        each = self._words(begin, end)
         self._prepare(self.n)
         self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum((each if k == 0 else (each ^ (each >> np.uint64(29))) * _MIX) * self._powers[2 * k][: self.n])]) for k in range(2)]
+        self.begin = begin
+
+    def _words(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of each word's bytes, by the same kind of sums; words are taken in blocks, so that a text of any length needs little memory."""
+        out = np.empty(len(begin), np.uint64)
+        i = 0
+        while i < len(begin):
+            j = max(i + 1, int(np.searchsorted(end, begin[i] + CHUNK_BYTES, "right")))
+            a, b = begin[i:j] - begin[i], end[i:j] - begin[i]
+            self._prepare(int(b[-1]))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.data[begin[i] : end[j - 1]].astype(np.uint64) + np.uint64(1)) * self._powers[0][: b[-1]])])
+            h = (sums[b] - sums[a]) * self._powers[1][a]
+            h = (h ^ (h >> np.uint64(32))) * _MIX + (b - a).astype(np.uint64)
+            h = (h ^ (h >> np.uint64(31))) * _MIX
+            out[i:j] = h ^ (h >> np.uint64(32))
+            i = j
+        return out
 
     @classmethod
     def _prepare(cls, n: int) -> None:
@@ -84,21 +129,27 @@ class Passages:
 
     def pieces(self, min_words: int, line: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First windows, numbers of windows, fingerprints of the pieces, and how often a piece holds its fingerprint."""
-        windows = self.n - min_words + 1
-        if windows < 1:
+        width = min_words - line + 1
+        windows = np.concatenate([np.empty(0, np.int64), *(np.arange(a, b - min_words + 1) for a, b in zip(self.first, self.last, strict=True) if b - a >= min_words)])
+        if not len(windows):
             return (np.empty(0, np.int64),) * 4
         lines = self.hashes(np.arange(self.n - line + 1), line)[0]
-        width = min_words - line + 1
-        least = _sliding_min(lines, width)
-        start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        least = _sliding_min(lines, width)[windows]
+        at = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (np.diff(windows) > 1)]))
         # One place of a fingerprint stands for at most `width` windows; more are several places, next to each other.
-        parts = -(-np.diff(np.append(start, windows)) // width)
-        start = np.repeat(start, parts) + (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * width
-        n, places = np.diff(np.append(start, windows)), np.ones(len(start), np.int64)
-        ordered = np.sort(lines)
-        if (ordered[1:] == ordered[:-1]).any():
-            places = np.array([np.count_nonzero(lines[a : a + k + width - 1] == m) for a, k, m in zip(start, n, least[start], strict=True)])
-        return start, n, least[start], places
+        parts = -(-np.diff(np.append(at, len(windows))) // width)
+        at = np.repeat(at, parts) + (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * width
+        start, n, mark = windows[at], np.diff(np.append(at, len(windows))), least[at]
+        places = np.zeros(len(at), np.int64)
+        for k in range(2 * width - 1):
+            places += (k < n + width - 1) & (lines[np.minimum(start + k, len(lines) - 1)] == mark)
+        return start, n, mark, places
+
+    def written(self, line_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """First words and numbers of words of the written lines of at least line_words words."""
+        ends = np.searchsorted(self.begin, np.flatnonzero(self.data == 10))
+        length = np.diff(np.concatenate([[0], ends]))
+        return (ends - length)[length >= line_words], length[length >= line_words]
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -110,10 +161,6 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split()
-
-
 def text_digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
@@ -122,23 +169,32 @@ def _marks(df: DataFrame, min_words: int, line: int, line_words: int) -> DataFra
     """id, digest, mark, start, n, low, high, places: pieces (n windows; low and high their hash) and written lines (n words, negative)."""
     schema = pa.schema([(c, pa.int64()) for c in ("id", "digest", "mark", "start", "n", "low", "high", "places")])
 
+    def marks(ids: list[int], texts: list[bytes]) -> list[np.ndarray]:
+        passages = Passages(texts)
+        start, n, mark, places = passages.pieces(min_words, line)
+        low, high = passages.hashes(start, n + min_words - 1)
+        if line_words:
+            begin, length = passages.written(line_words)
+            whole, other = passages.hashes(begin, length)
+            start, n, mark = np.append(start, begin), np.append(n, -length), np.append(mark, whole)
+            low, high, places = np.append(low, whole), np.append(high, other), np.append(places, np.ones(len(whole), np.int64))
+        text = np.searchsorted(passages.last, start, "right")
+        digests = np.array([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts], np.int64)
+        return [np.array(ids, np.int64)[text], digests[text], mark, start - passages.first[text], n, low, high, places]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in schema]
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
-                passages = Passages(words_of(text))
-                start, n, mark, places = passages.pieces(min_words, line)
-                low, high = passages.hashes(start, n + min_words - 1)
-                if line_words:
-                    length = np.array([len(x.split()) for x in text.encode("utf-8", "surrogatepass").split(b"\n")])
-                    begin = (np.cumsum(length) - length)[length >= line_words]
-                    length = length[length >= line_words]
-                    whole, other = passages.hashes(begin, length)
-                    start, n, mark = np.append(start, begin), np.append(n, -length), np.append(mark, whole)
-                    low, high, places = np.append(low, whole), np.append(high, other), np.append(places, np.ones(len(whole), np.int64))
-                for column, values in zip(columns, (np.full(len(start), i), np.full(len(start), text_digest(text)), mark, start, n, low, high, places), strict=True):
-                    column.append(values)
+            ids, texts, held = [], [], 0
+            for i, text in zip([*batch.column(0).to_pylist(), None], [*batch.column(1), None], strict=True):
+                if text is not None:
+                    ids.append(i)
+                    texts.append(text.as_py().encode("utf-8", "surrogatepass"))
+                    held += len(texts[-1])
+                if texts and (text is None or held >= CHUNK_BYTES):
+                    for column, values in zip(columns, marks(ids, texts), strict=True):
+                        column.append(values)
+                    ids, texts, held = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], schema=schema)
 
     return df.mapInArrow(run, "id long, digest long, mark long, start long, n long, low long, high long, places long")
@@ -157,7 +213,7 @@ def _windows(docs: DataFrame, ranges: DataFrame, min_words: int) -> DataFrame:
                 starts = [np.arange(r["start"], r["start"] + r["n"]) for r in wanted if r["digest"] == digest]
                 if starts:
                     at = np.unique(np.concatenate(starts))
-                    low, high = Passages(words_of(text)).hashes(at, min_words)
+                    low, high = Passages([text.encode("utf-8", "surrogatepass")]).hashes(at, min_words)
                     for column, values in zip(columns, (np.full(len(at), i), at, np.full(len(at), digest), low, high), strict=True):
                         column.append(values)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], schema=schema)
@@ -203,7 +259,7 @@ def repeated_runs(
 def without_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]], int]:
     """The text without the words of the runs (first word, words), the merged runs as (first word, past the last), and the words left."""
     data = text.encode("utf-8", "surrogatepass")
-    at = [m.start() for m in _WORD.finditer(data)]
+    at = word_edges(np.frombuffer(data, np.uint8))[0]
     merged: list[list[int]] = []
     for start, n in sorted(runs):
         if merged and start <= merged[-1][1]:
@@ -244,22 +300,22 @@ def drop_repeated_lines(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts, removed, spans, keep = [], [], [], [], []
-            for text, found in zip(batch.column(at), batch.column(len(fields)), strict=True):
-                text, found = text.as_py(), found.as_py()
-                counts.append(len(words_of(text or "")))
-                if found:
-                    digest = text_digest(text) if text is not None else None
-                    found = [(r["start"], r["words"]) for r in found if r["digest"] == digest]
-                merged: list[tuple[int, int]] = []
+            counts = word_counts(batch.column(at))
+            removed, spans, texts = np.zeros(len(counts), np.int64), [""] * len(counts), None
+            held = batch.column(len(fields))
+            for k in np.flatnonzero(held.is_valid().to_numpy(zero_copy_only=False)):
+                text = batch.column(at)[k].as_py()
+                digest = text_digest(text) if text is not None else None
+                found = [(r["start"], r["words"]) for r in held[k].as_py() if r["digest"] == digest]
                 if found:
-                    text, merged, _ = without_runs(text, found)
-                texts.append(text)
-                removed.append(sum(b - a for a, b in merged))
-                spans.append(",".join(f"{a}-{b}" for a, b in merged))
-                keep.append(not removed[-1] or removed[-1] < counts[-1])
+                    texts = texts or batch.column(at).to_pylist()
+                    texts[k], merged, _ = without_runs(text, found)
+                    removed[k] = sum(b - a for a, b in merged)
+                    spans[k] = ",".join(f"{a}-{b}" for a, b in merged)
+            keep = (removed == 0) | (removed < counts)
             columns = [*batch.columns[: len(fields)], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.string())]
-            columns[at] = pa.array(texts, pa.string())
+            if texts:
+                columns[at] = pa.array(texts, pa.string())
             out = pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in fields), *NEW])
             yield out if keep_emptied else out.filter(pa.array(keep, pa.bool_()))
 

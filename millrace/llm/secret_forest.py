@@ -1,10 +1,13 @@
 """Secret scan: candidates by form, false positives removed by a random forest.
 
-A candidate is a run of 16 or more characters of an identifier or base-64 alphabet
-that has a digit. Its statistics are length, kinds of characters, how usual its
-character transitions are, how much of it dictionary words cover, its path (the
-source) and the words next to it. A forest trained on labelled findings gives the
-share of trees that call it a secret.
+A candidate is a run of characters of an identifier or base-64 alphabet, of 8 or more if
+it has a digit and of 20 or more if not. Its statistics are length, kinds of characters,
+how usual its character transitions are, how much of it dictionary words cover, and what
+the labelled findings say of its first characters, of the words next to it (on its line,
+within AROUND characters) and of those of its path (the source): the log odds of a secret
+where each stands, learnt from the words that at least LEAST_SEEN findings have. No word
+is known beforehand. A forest trained on the findings gives the share of trees that call
+it a secret.
 
 The dictionary, and with it the table of transitions, is the word list of an existing
 vocabulary file, a parameter. Labelled findings are a table (candidate, before, after,
@@ -14,7 +17,8 @@ path, label); at most MAX_TRAIN of them, by hash, are used, on the driver.
 Definitions for odd input: null and empty texts have no candidates; a null source is
 an empty path; equal candidates in equal surroundings get equal scores; with no
 labelled findings, or of one label only, all scores are that label's share (0.5 for
-none); an empty table gives an empty result.
+none); candidates of any length are taken whole; an empty table gives an empty result;
+further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,14 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_TRAIN, TREES, DEPTH, LEAST_LEAF, SEED = 20_000, 40, 9, 4, 5
-AROUND = 32
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}+")
-#: Words that speak for and against a secret, and known beginnings.
-FOR = re.compile(r"passw|pwd|token|secret|credential|auth|api.?key|access.?key", re.I)
-AGAINST = re.compile(r"sha\d*|md5|commit|checksum|hash|digest|uuid|guid|etag|example|sample|dummy|placeholder|revision|https?:|urn:|integrity", re.I)
-PATHS = re.compile(r"test|example|sample|doc|fixture|mock|vendor|lock", re.I)
-KNOWN = re.compile(r"AKIA|ASIA|ghp_|gho_|xox[bp]-|sk_live|AIza|eyJ")
-FEATURES = ("length", "digits", "upper", "lower", "signs", "hex", "entropy", "transitions", "coverage", "known", "for", "against", "assigned", "quoted", "path", "uuid")
+AROUND, LEAST_SEEN = 64, 8
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|[A-Za-z+/_-]{20})[A-Za-z0-9+/_-]{8,}+={0,2}+")
+NAMES = re.compile(r"[A-Za-z]{2,}")
+FEATURES = ("length", "digits", "upper", "lower", "signs", "hex", "entropy", "transitions", "coverage", "begins", "before", "after", "path", "assigned", "quoted", "uuid")
 
 
 class Words:
@@ -73,10 +73,35 @@ class Words:
         return covered / max(1, len(low))
 
 
-def features(words: Words, candidate: str, before: str, after: str, path: str) -> list[float]:
+class Neighbours:
+    """Log odds of a secret for words around a candidate, by the kind of place they stand in."""
+
+    def __init__(self, odds: dict[tuple[str, str], float]):
+        self.odds = odds
+
+    @staticmethod
+    def marks(candidate: str, before: str, after: str, path: str) -> dict[str, list[str]]:
+        words = lambda text: NAMES.findall(text.lower())
+        return {"begins": [candidate[:4]], "before": words(before)[-3:], "after": words(after)[:3], "path": words(path)}
+
+    @staticmethod
+    def fit(rows: list[tuple], least: int = LEAST_SEEN) -> Neighbours:
+        """rows: candidate, before, after, path, label."""
+        seen: dict[tuple[str, str], list[float]] = {}
+        for *row, label in rows:
+            for key in {(place, w) for place, found in Neighbours.marks(*row).items() for w in found}:
+                seen.setdefault(key, [1.0, 1.0])[int(label)] += 1
+        return Neighbours({k: math.log(yes / no) for k, (no, yes) in seen.items() if yes + no - 2 >= least})
+
+    def values(self, *row: str) -> dict[str, float]:
+        """The sum of the log odds of the words at each kind of place."""
+        return {place: sum(self.odds.get((place, w), 0.0) for w in found) for place, found in self.marks(*row).items()}
+
+
+def features(words: Words, neighbours: Neighbours, candidate: str, before: str, after: str, path: str) -> list[float]:
     n = len(candidate)
     share = lambda f: sum(map(f, candidate)) / n
-    head = candidate[:4096]  # for the costly statistics of a run of any length, which these settle
+    near = neighbours.values(candidate, before, after, path)
     counts = np.unique(np.frombuffer(candidate.encode("ascii", "replace"), np.uint8), return_counts=True)[1] / n
     return [
         math.log(n),
@@ -87,13 +112,13 @@ def features(words: Words, candidate: str, before: str, after: str, path: str) -
         float(all(c in "0123456789abcdefABCDEF" for c in candidate)),
         float(-(counts * np.log2(counts)).sum()),
         words.transitions(candidate),
-        words.coverage(head),
-        float(bool(KNOWN.match(candidate))),
-        float(bool(FOR.search(before))),
-        float(bool(AGAINST.search(before) or AGAINST.search(after))),
+        words.coverage(candidate),
+        near["begins"],
+        near["before"],
+        near["after"],
+        near["path"],
         float(before.rstrip(" \"'")[-1:] in ("=", ":") if before else 0),
         float(before[-1:] in ('"', "'") and after[:1] in ('"', "'")),
-        float(bool(PATHS.search(path))),
         float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", candidate))),
     ]
 
@@ -174,7 +199,7 @@ def labelled_examples(n: int = 3000, seed: int = SEED) -> list[tuple[str, str, s
         path = r.choice(["src/app", "deploy", "conf", "src1", "src7", "web", "news"])
         quote = r.choice(['"', "'", ""])
         if k % 2:
-            kind = r.randrange(5)
+            kind = r.randrange(6)
             if kind == 0:
                 out.append((("AKIA" + some(upper + digits, 16)), f"{word()} {r.choice(['', 'key ', 'access_key = '])}", f" {word()}", path, 1))
             elif kind == 1:
@@ -183,10 +208,12 @@ def labelled_examples(n: int = 3000, seed: int = SEED) -> list[tuple[str, str, s
                 out.append((some("0123456789abcdef", r.choice([32, 40, 64])), f"{word()} {r.choice(['token', 'auth_token', 'api_key', 'credential'])}{r.choice(['=', ': ', ' = '])}{quote}", f"{quote} {word()}", path, 1))
             elif kind == 3:
                 out.append((r.choice(["ghp_", "sk_live_", "xoxb-", "AIza"]) + some(lower + upper + digits, r.randint(24, 40)), f"{word()} ", f" {word()}", path, 1))
+            elif kind == 4:
+                out.append((r.choice(digits) + some(lower + upper + digits, r.randint(7, 15)), f"{word()} {r.choice(['password', 'passwd', 'pwd'])}{r.choice(['=', ': ', ' = '])}{quote}", f"{quote} {word()}", path, 1))
             else:
                 out.append((some(lower + upper + digits + "+/", r.randint(24, 60)), f"{r.choice(['secret', 'access_key', 'token'])} = {quote}", quote, path, 1))
         else:
-            kind = r.randrange(6)
+            kind = r.randrange(9)
             if kind == 0:
                 out.append((some("0123456789abcdef", r.choice([32, 40, 64])), f"{word()} {r.choice(['sha256', 'md5', 'commit', 'checksum', 'etag', 'integrity'])}{r.choice([' ', ': ', '='])}{quote}", f"{quote} {word()}", path, 0))
             elif kind == 1:
@@ -198,18 +225,25 @@ def labelled_examples(n: int = 3000, seed: int = SEED) -> list[tuple[str, str, s
                 out.append(("_".join(r.choice(named) for _ in range(r.randint(2, 4))) + f"_{r.randint(1, 2030)}", f"{word()} ", f" {word()}", path, 0))
             elif kind == 4:
                 out.append((some(digits, r.randint(16, 22)), f"{word()} {r.choice(['', 'no ', 'order '])}", f" {word()}", path, 0))
+            elif kind == 5:
+                out.append(("".join(r.choice(["th", "on", "er", "ke", "mi", "tion", "ing", "ent", "aux"]) for _ in range(r.randint(8, 12))), f"{word()} ", f" {word()}", path, 0))
+            elif kind == 6:
+                out.append((f"{some(digits, 3)}-{some(digits, 4)}", f"{word()} +{r.randint(1, 99)} ({some(digits, 3)}) ", f" {word()}", path, 0))
+            elif kind == 7:
+                out.append((f"{r.randint(1950, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{word()} {r.choice(['', 'on ', 'date: '])}", f" {word()}", path, 0))
             else:
                 out.append((some(lower + upper + digits, r.randint(20, 40)), f"{r.choice(['example token: ', 'dummy secret = ', 'sample key ', 'https://host/'])}", f" {word()}", r.choice(["tests", "docs", "fixtures"]), 0))
     return out
 
 
-def train(findings: DataFrame, words: Words, max_train: int = MAX_TRAIN) -> Forest:
+def train(findings: DataFrame, words: Words, max_train: int = MAX_TRAIN) -> tuple[Forest, Neighbours]:
     """findings: candidate, before, after, path, label."""
     picked = findings.filter("candidate is not null and candidate <> '' and label is not null").select("candidate", *(F.coalesce(c, F.lit("")) for c in ("before", "after", "path")), F.col("label").cast("int"))
     share = min(1.0, max_train / max(1, picked.count()))
     rows = sorted(map(tuple, picked.filter(F.pmod(F.xxhash64(*picked.columns), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).collect()))
-    x = np.array([features(words, *r[:4]) for r in rows]) if rows else np.zeros((0, len(FEATURES)))
-    return Forest.fit(x, np.array([r[4] for r in rows], float))
+    neighbours = Neighbours.fit(rows)
+    x = np.array([features(words, neighbours, *r[:4]) for r in rows]) if rows else np.zeros((0, len(FEATURES)))
+    return Forest.fit(x, np.array([r[4] for r in rows], float)), neighbours
 
 
 def scan(
@@ -224,7 +258,7 @@ def scan(
     with_candidate: bool = False,
 ) -> DataFrame:
     """One row per candidate: id, start, end (code points, end exclusive), score, is_secret, and with_candidate the text itself."""
-    forest = train(findings, Words.load(dictionary_path))
+    forest, neighbours = train(findings, Words.load(dictionary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = None
@@ -234,13 +268,11 @@ def scan(
             for i, text, path in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 text = text.as_py() or ""
                 for m in CANDIDATE.finditer(text):
-                    if not any(c.isdigit() for c in m.group()):
-                        continue
                     ids.append(i)
                     starts.append(m.start())
                     ends.append(m.end())
                     found.append(m.group())
-                    x.append(features(words, m.group(), text[max(0, m.start() - AROUND) : m.start()].rpartition("\n")[2], text[m.end() : m.end() + AROUND].partition("\n")[0], path or ""))
+                    x.append(features(words, neighbours, m.group(), text[max(0, m.start() - AROUND) : m.start()].rpartition("\n")[2], text[m.end() : m.end() + AROUND].partition("\n")[0], path or ""))
             score = forest.score(np.array(x).reshape(-1, len(FEATURES)))
             columns = [pa.array(ids, batch.column(0).type), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(score, pa.float64()), pa.array(score >= threshold, pa.bool_())]
             names = [id_col, "start", "end", "score", "is_secret"]

@@ -54,3 +54,21 @@ def test_query(spark, odd, odd_rows, library):
         expected.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
     assert got == sorted(expected, key=repr)
     assert encode_decode(odd.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_scripts_without_spaces():
+    import random
+
+    import public_tokenizers as P
+    import tiktoken
+
+    from millrace.llm.bpe_tree import TreeCodec, load_ranks
+
+    ranks = load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    whole = tiktoken.Encoding("whole", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = TreeCodec(ranks, P.PATTERN, leaf_chars=256)
+    r = random.Random(5)
+    pools = ["的一是在不了有和人这中大为上个国我以要他", "あいうえおかきくけこさしすせそ漢字", "абвгдежзийклмнопрст", "กขคงจฉชซ" + "ะาิีึ", "א" "בגדהוזחט", "abc", "!?。，、", "'s't", "0123٣٤", "\U0001f600é́"]
+    for k in range(60):
+        text = "".join("".join(r.choice(r.choice(pools)) if r.random() < 0.03 else r.choice(pools[k % 10]) for _ in range(r.randint(1, 900))) + r.choice([" ", "", "\n", "。"]) for _ in range(3))
+        assert codec.encode(text) == whole.encode_ordinary(text)

@@ -2,7 +2,13 @@ from __future__ import annotations
 
 import numpy as np
 
-from millrace.llm.line_winnow import Passages, drop_repeated_lines, words_of
+import pyarrow as pa
+
+from millrace.llm.line_winnow import Passages, drop_repeated_lines, word_counts
+
+
+def words_of(text):
+    return text.encode().split()
 
 
 def brute(rows, least=50, line_words=5, line_places=20):
@@ -81,13 +87,20 @@ def test_any_passage_has_its_fingerprints_anywhere(odd_rows):
     passage = [f"word{k}".encode() for k in range(60)]
     inside = None
     for before, after in ((0, 0), (1, 7), (70, 90), (13, 0)):
-        found = Passages([b"x%d" % k for k in range(before)] + passage + [b"y%d" % k for k in range(after)])
+        found = Passages([b" ".join([b"x%d" % k for k in range(before)] + passage + [b"y%d" % k for k in range(after)])])
         start, n, mark, _ = found.pieces(50, 16)
         each = {int(a) + k - before: int(m) for a, c, m in zip(start, n, mark, strict=True) for k in range(c)}
         inside = inside or {k: each[k] for k in range(11)}
         assert {k: each[k] for k in range(11)} == inside
         low = found.hashes(np.arange(before, before + 11), 50)
-        assert np.array_equal(low[0], Passages(passage).hashes(np.arange(11), 50)[0])
+        assert np.array_equal(low[0], Passages([b"\n".join(passage)]).hashes(np.arange(11), 50)[0])
+
+
+def test_word_counts(odd_rows):
+    texts = [t for _, t, *_ in odd_rows]
+    assert word_counts(pa.array(texts)).tolist() == [len((t or "").encode().split()) for t in texts]
+    assert word_counts(pa.array(["x", *texts, " a b"]).slice(1, len(texts))).tolist() == [len((t or "").encode().split()) for t in texts]
+    assert word_counts(pa.array([], pa.string())).tolist() == [] and word_counts(pa.array([None, ""], pa.string())).tolist() == [0, 0]
 
 
 def test_empty(spark, odd):
