@@ -5,6 +5,12 @@ columns of documents; the line stage sets n_chars to the new length of the texts
 it changes, and documents that consist of repeated runs alone go. The mixing stage
 takes the least budget with which every document is used at least once, so it repeats
 documents of small sources and drops none.
+
+Odd input: a null text counts as empty in every stage and is classified as such; rows with
+a null id go through lines and near duplicates unchanged; rows sharing an id are one
+document to the near duplicates; empty tables give empty tables; columns beyond those of
+documents are kept by all stages but the last, whatever their names (n_words, n_removed and
+removed excepted, which the line stage would replace).
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe_tree import encode_decode
-from millrace.llm.common import Scratch, documents, table
+from millrace.llm.common import Scratch, documents, fresh, table
 from millrace.llm.hamming_join import near_duplicates
 from millrace.llm.line_winnow import drop_repeated_lines
 from millrace.llm.mixing import mixed
@@ -32,7 +38,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of lines that repeat earlier ones are deleted."""
+    """Passages that repeat earlier ones, and lines of many places, are deleted."""
     done = drop_repeated_lines(docs, min_words=MIN_WORDS, keep_emptied=False)
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", n_chars).select(docs.columns)
@@ -40,8 +46,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    kept = near_duplicates(docs, n=SHINGLE, percent=PERCENT).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    [id_name] = fresh(docs, "id")
+    kept = near_duplicates(docs, n=SHINGLE, percent=PERCENT).filter("kept").select(F.col("doc_id").alias(id_name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(id_name)), "left_semi")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -336,12 +336,12 @@ def sql_expansion(spark, sf_dir):
     return m.PagedSqlSource("spark:", "paged_orders", "o_orderkey", 1000).frame(spark)
 
 
-@query("""SELECT o_orderkey, o_custkey, c_name, CASE WHEN c_custkey IS NULL THEN 'not found' END AS error
-FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey""")
+@query("""SELECT o_orderkey, o_custkey, s_name, CASE WHEN s_suppkey IS NULL THEN 'not found' END AS error
+FROM orders LEFT JOIN supplier ON o_custkey = s_suppkey""")
 def lookup_enrich(spark, sf_dir):
-    known = table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0")
+    """Fewer suppliers than customers exist, so many keys have no match."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return m.lookup(orders, known, "o_custkey", table_key="c_custkey", columns=["c_name"])
+    return m.lookup(orders, table(spark, sf_dir, "supplier"), "o_custkey", table_key="s_suppkey", columns=["s_name"])
 
 
 REVENUE = """SELECT o_orderpriority, count(*) AS n, sum(l_quantity) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey
@@ -442,3 +442,87 @@ def coerce_first_record(spark, sf_dir):
 def status_counts(spark, sf_dir):
     plan = m.Pipe(m.ParquetSource(f"{sf_dir}/events.parquet"), model=Event, spark=spark).plan()
     return plan.groupBy(F.col(STATUS).alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, coalesce(text, '') AS text, lang FROM documents")
+def csv_text_roundtrip(spark, sf_dir):
+    """Cells with line breaks, quotes and commas."""
+    at, df = workspace(spark), table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return typed(through(spark, df, m.CsvSink(f"{at}/x.csv"), m.CsvSource(f"{at}/x.csv")), df)
+
+
+@query("SELECT * FROM nation")
+def csv_bytes(spark, sf_dir):
+    at, df = workspace(spark), table(spark, sf_dir, "nation")
+    through(spark, df, m.CsvSink(f"{at}/x.csv"), m.CsvSource(f"{at}/x.csv"))
+    with open(f"{at}/x.csv", "rb") as file:
+        return typed(m.BytesSource(file.read(), "csv").frame(spark), df)
+
+
+@query("SELECT * FROM region")
+def json_bytes(spark, sf_dir):
+    at, df = workspace(spark), table(spark, sf_dir, "region")
+    through(spark, df, m.JsonSink(f"{at}/x.jsonl", format="jsonl"), m.JsonSource(f"{at}/x.jsonl"))
+    with open(f"{at}/x.jsonl", "rb") as file:
+        return typed(m.BytesSource(file.read(), "json", schema=df.schema).frame(spark), df)
+
+
+@query("SELECT (SELECT count(*) FROM customer) AS records, (SELECT count(*) FROM (DESCRIBE customer)) AS columns")
+def csv_count_headers(spark, sf_dir):
+    at, df = workspace(spark), table(spark, sf_dir, "customer")
+    through(spark, df, m.CsvSink(f"{at}/x.csv"), source := m.CsvSource(f"{at}/x.csv"))
+    return spark.createDataFrame([(count_rows(spark, source), len(source.headers(spark)))], "records long, columns long")
+
+
+@query("SELECT k, CASE WHEN k >= 15 THEN 'late' END AS later, CASE WHEN k < 10 THEN 1.0 * k ELSE k + 0.5 END AS n FROM (SELECT unnest(range(0, 20)) AS k)")
+def rows_later_fields(spark, sf_dir):
+    """Fields that first appear, and types that change, after the first chunk."""
+    rows = ({"k": k, "n": k if k < 10 else k + 0.5} | ({"later": "late"} if k >= 15 else {}) for k in range(20))
+    return m.RowsSource(rows, chunk=7).frame(spark).select("k", "later", "n")
+
+
+@query("SELECT n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+def delta_partitioned_read(spark, sf_dir):
+    """A table whose partition column stands in the log alone, whose first version is a checkpoint."""
+    import json
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    at, df = f"{workspace(spark)}/t", table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
+    df.write.partitionBy("n_regionkey").parquet(f"file://{at}")
+    names = sorted(os.path.relpath(os.path.join(d, f), at) for d, _, files in os.walk(at) for f in files if f.endswith(".parquet"))
+    adds = [{"path": n, "partitionValues": [("n_regionkey", n.partition("=")[2].partition("/")[0])], "size": os.path.getsize(f"{at}/{n}")} for n in names]
+    meta = {"id": "t", "schemaString": df.schema.json(), "partitionColumns": ["n_regionkey"], "configuration": []}
+    values = pa.map_(pa.string(), pa.string())
+    kinds = {
+        "protocol": pa.struct([("minReaderVersion", pa.int32()), ("minWriterVersion", pa.int32())]),
+        "metaData": pa.struct([("id", pa.string()), ("schemaString", pa.string()), ("partitionColumns", pa.list_(pa.string())), ("configuration", values)]),
+        "add": pa.struct([("path", pa.string()), ("partitionValues", values), ("size", pa.int64())]),
+    }
+    rows = [{"protocol": {"minReaderVersion": 1, "minWriterVersion": 2}}, {"metaData": meta}, *({"add": a} for a in adds[:-1])]
+    os.makedirs(f"{at}/_delta_log")
+    pq.write_table(pa.table({k: pa.array([r.get(k) for r in rows], kind) for k, kind in kinds.items()}), f"{at}/_delta_log/{3:020d}.checkpoint.parquet")
+    with open(f"{at}/_delta_log/{4:020d}.json", "w") as file:
+        file.write(json.dumps({"add": adds[-1] | {"partitionValues": dict(adds[-1]["partitionValues"])}}) + "\n")
+    return m.DeltaSource(at).frame(spark)
+
+
+@query("SELECT p_partkey, p_name FROM part")
+def parquet_row_groups(spark, sf_dir):
+    """Each row group by its number, put together again."""
+    import pyarrow.parquet as pq
+
+    at, df = workspace(spark), table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    pq.write_table(df.toArrow(), f"{at}/x.parquet", row_group_size=500)
+    parts = [s.frame(spark) for s in m.ParquetSource(f"{at}/x.parquet").split(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]) if len(parts) == 3 else parts[0]
+
+
+@query("SELECT n_name FROM nation WHERE n_regionkey < 3")
+def delta_batches(spark, sf_dir):
+    """Active files and records of a Delta table, without a pipe."""
+    at, df = f"{workspace(spark)}/t", table(spark, sf_dir, "nation").filter("n_regionkey < 3").select("n_name")
+    through(spark, df, m.DeltaSink(at), source := m.DeltaSource(at))
+    assert source.active_files()
+    return spark.createDataFrame([(r["n_name"],) for r in source.batches(spark)], "n_name string")

@@ -37,7 +37,7 @@ class PipeManager:
         parts = []
         for source, sink, error in zip(sources, sinks, errors, strict=True):
             part = Pipe(
-                source, sink, error, pipe.model, pipe.pre_hooks, pipe.post_hooks, generate_ids=pipe.generate_ids, positions=pipe.positions, include_errors=pipe.include_errors,
+                source, sink, error, pipe.model, pipe.pre_hooks, pipe.post_hooks, generate_ids=pipe.generate_ids, positions=pipe.positions, prune_columns=pipe.prune_columns, native_validation=pipe.native_validation, include_errors=pipe.include_errors,
                 on_hook_error=pipe.on_hook_error, order_by_position=pipe.order_by_position, logger=pipe.logger, telemetry=pipe.telemetry, spark=pipe.spark,
             )
             parts.append(part)
@@ -68,14 +68,18 @@ class PipeManager:
         for p in self.pipes:
             p.shutdown(timeout)
 
-    def run(self, wait: bool = True, timeout: float | None = None, on_report_update: Callable[[Report], None] | None = None) -> bool:
-        """Runs all pipes; then coordinators finish, or hear of the first failure, which is raised."""
+    def run(self, wait: bool = True, timeout: float | None = None, on_report_update: Callable[[Report], None] | None = None, interval: float = 0.5) -> bool:
+        """Runs all pipes, telling of their report each interval; then coordinators finish, or hear of the first failure, which is raised."""
         try:
             self.start()
             if not wait:
                 return False
-            if not self.wait(timeout):
-                return False
+            until = None if timeout is None else time.time() + timeout
+            while not self.wait(interval if until is None else max(0.0, min(interval, until - time.time()))):
+                if on_report_update:
+                    on_report_update(self.report)
+                if until is not None and time.time() >= until:
+                    return False
             if on_report_update:
                 on_report_update(self.report)
             results = self.results()
@@ -100,12 +104,14 @@ class PipeManager:
 
     @property
     def report(self) -> Report:
+        for p in self.pipes:
+            p.watch()
         return Report.aggregate([p.report for p in self.pipes])
 
     @property
     def pipe_reports(self) -> list[Report]:
         if not self.started:
-            raise PipelineError("Engine has not been started")
+            raise PipelineError("no pipe runs before start()")
         return [p.report for p in self.pipes]
 
     def pipe_report(self, index: int) -> Report:

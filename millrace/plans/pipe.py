@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import copy
 import threading
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -46,12 +48,13 @@ class Pipe:
         telemetry: Telemetry | None = None,
         spark: SparkSession | None = None,
     ):
-        self.source, self.sink, self.error_sink, self.model = source, sink, error_sink, model
+        self.source, self.sink, self.error_sink, self.model = copy.copy(source), sink, error_sink, model
+        self.prune_columns, self.native_validation = prune_columns, native_validation
         self.validator = Validator(model, native=native_validation) if model is not None else None
         self.pre_hooks = [*source.hooks(), *(pre_hooks or [])]
         self.post_hooks = [*(sink.hooks() if sink else []), *(error_sink.hooks() if error_sink else []), *(post_hooks or [])]
         if prune_columns and self.validator and not self.pre_hooks and not (error_sink is not None):
-            source.require(self.validator.required_columns())
+            self.source.require(self.validator.required_columns())
         self.generate_ids, self.positions, self.include_errors = generate_ids, positions or order_by_position, include_errors
         self.on_hook_error, self.order_by_position = on_hook_error, order_by_position
         self.logger, self.spark, self.telemetry = logger or get_logger(), spark, telemetry or Telemetry()
@@ -117,7 +120,7 @@ class Pipe:
 
     def start(self, wait: bool = False) -> None:
         if self._thread is not None and self._thread.is_alive():
-            raise PipelineError("Pipe is already running")
+            raise PipelineError("a pipe runs once at a time, and this one hasn't ended")
         self.report.begin()
         from pyspark import InheritableThread
 
@@ -132,6 +135,21 @@ class Pipe:
             self._thread.join(timeout)
         return self.report.is_finished
 
+    def watch(self) -> Report:
+        """The report; while the pipe runs, its total is the most records that one of its stages has written so far."""
+        if self._thread is not None and self._thread.is_alive():
+            context = self.session().sparkContext
+            try:
+                tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+                stages = {s for job in tracker.getJobIdsForGroup(self.group) for s in tracker.getJobInfo(job).stageIds}
+                each = [store.lastStageAttempt(s) for s in stages if tracker.getStageInfo(s)]
+                seen = max((max(x.outputRecords(), x.shuffleWriteRecords()) for x in each), default=0)
+            except Py4JError:  # stages come and go
+                seen = 0
+            if not self.report.is_finished:
+                self.report.total_processed = max(self.report.total_processed, seen)
+        return self.report
+
     def shutdown(self, timeout: float = 5.0) -> None:
         """Cancels the pipe's jobs; what sinks haven't committed is left out."""
         if self._thread is not None and self._thread.is_alive():
@@ -149,7 +167,7 @@ class Pipe:
         until = None if timeout is None else time.time() + timeout
         while not self.wait(interval if until is None else max(0.0, min(interval, until - time.time()))):
             if on_report_update:
-                on_report_update(self.report)
+                on_report_update(self.watch())
             if until is not None and time.time() >= until:
                 return False
         if on_report_update:

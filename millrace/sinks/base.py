@@ -79,9 +79,16 @@ def write_single(df: DataFrame, path: str, kind: str, options: dict) -> None:
     jvm = df.sparkSession._jvm
     parts = [f.getPath() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(beside)) if f.getPath().getName().startswith("part-")]
     at = jvm.org.apache.hadoop.fs.Path(path)
-    fs.delete(at, True)
-    if parts:
-        fs.rename(parts[0], at)
+    old = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.old")
+    replaced = bool(parts) and fs.exists(at) and fs.rename(at, old)
+    if parts and not fs.rename(parts[0], at):
+        if replaced:
+            fs.rename(old, at)
+        raise OSError(f"{path} can't be put in place")
+    if replaced:
+        fs.delete(old, True)
+    elif not parts:
+        fs.delete(at, True)
     fs.delete(jvm.org.apache.hadoop.fs.Path(beside), True)
     if "://" not in path or path.startswith("file://"):
         folder, name = os.path.split(local(path))

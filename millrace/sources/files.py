@@ -21,15 +21,38 @@ class CsvSource(Source):
 
     skip_rows lines before the header are passed over; with fieldnames the first line is
     data unless has_header says otherwise. Files ending in .gz or .zst are unpacked.
+
+    Quoted cells may have line breaks. Files without such cells are split among tasks, and
+    with them each file is one task's; multiline says which it is, and None has Spark look
+    for a line that opens a quote and doesn't close it. Not with skip_rows.
     """
 
-    def __init__(self, path: str, delimiter: str = ",", quotechar: str = '"', skip_rows: int = 0, fieldnames: list[str] | None = None, has_header: bool | None = None, **more):
+    def __init__(
+        self,
+        path: str,
+        delimiter: str = ",",
+        quotechar: str = '"',
+        skip_rows: int = 0,
+        fieldnames: list[str] | None = None,
+        has_header: bool | None = None,
+        multiline: bool | None = None,
+        **more,
+    ):
         super().__init__(**more)
+        self.multiline = multiline
         self.path, self.delimiter, self.quotechar, self.skip_rows, self.fieldnames = path, delimiter, quotechar, skip_rows, fieldnames
         self.has_header = fieldnames is None if has_header is None else has_header
 
     def _reader(self, spark: SparkSession):
-        return spark.read.option("sep", self.delimiter).option("quote", self.quotechar).option("escape", self.quotechar).option("mode", "FAILFAST").option("multiLine", False)
+        return spark.read.option("sep", self.delimiter).option("quote", self.quotechar).option("escape", self.quotechar).option("mode", "FAILFAST")
+
+    def breaks(self, spark: SparkSession) -> bool:
+        """Whether some cell has a line break, which leaves an odd number of quotes in its lines."""
+        if self.multiline is not None:
+            return self.multiline
+        value = F.col("value")
+        quotes = F.length(value) - F.length(F.replace(value, F.lit(self.quotechar), F.lit("")))
+        return bool(spark.read.text(self.path).filter(F.contains(value, F.lit(self.quotechar)) & (quotes % 2 == 1)).head(1))
 
     def headers(self, spark: SparkSession) -> list[str]:
         if self.fieldnames:
@@ -50,7 +73,7 @@ class CsvSource(Source):
             lines = spark.read.text(self.path).rdd.map(lambda r: r[0]).zipWithIndex().filter(lambda x: x[1] >= skip).keys()
             df = self._reader(spark).schema(schema).csv(lines)
         else:
-            df = self._reader(spark).option("header", self.has_header).option("enforceSchema", True).schema(schema).csv(self.path)
+            df = self._reader(spark).option("multiLine", self.breaks(spark)).option("header", self.has_header).option("enforceSchema", True).schema(schema).csv(self.path)
         return df.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
 
 

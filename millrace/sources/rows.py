@@ -6,6 +6,7 @@ from collections.abc import Iterable
 from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.model import ConfigError
@@ -15,8 +16,9 @@ from millrace.sources.base import Source
 class RowsSource(Source):
     """An iterable of dicts (or other objects, as field `value`), taken chunk by chunk.
 
-    The schema is that of the first chunk unless one is given; fields that a record
-    lacks are null.
+    Unless a schema is given, the fields are those of all records, in the order in which
+    they first appear; a field with numbers of several kinds holds doubles, and one with
+    other mixtures text. Fields that a record lacks are null.
     """
 
     can_split = False
@@ -27,22 +29,56 @@ class RowsSource(Source):
 
     def read(self, spark: SparkSession) -> DataFrame:
         rows = iter(self.rows)
-        schema, parts = self.schema, []
+        parts = []
         while block := [r if isinstance(r, dict) else {"value": r} for r in islice(rows, self.chunk)]:
-            if schema is None:
-                names = list(dict.fromkeys(k for r in block for k in r))
-                full = [tuple(r.get(k) for k in names) for r in block]
-                part = spark.createDataFrame(full, names)
-                schema = part.schema
-            else:
-                part = spark.createDataFrame(block, schema)
-            parts.append(part)
+            if self.schema is not None:
+                parts.append(spark.createDataFrame(block, self.schema))
+                continue
+            names = list(dict.fromkeys(k for r in block for k in r))
+            kinds = {k: _kind([r.get(k) for r in block]) for k in names}
+            fields = T.StructType([T.StructField(k, kinds[k] or T.StringType()) for k in names])
+            convert = {k: str if isinstance(kinds[k], T.StringType) else float if isinstance(kinds[k], T.DoubleType) else _same for k in names}
+            full = [tuple(None if r.get(k) is None else convert[k](r[k]) for k in names) for r in block]
+            parts.append((spark.createDataFrame(full, fields), kinds))
         if not parts:
-            return spark.createDataFrame([], schema or T.StructType())
-        df = parts[0]
-        for p in parts[1:]:
-            df = df.unionByName(p)
-        return df
+            return spark.createDataFrame([], self.schema or T.StructType())
+        if self.schema is None:
+            known: dict[str, T.DataType | None] = {}
+            for _, kinds in parts:
+                for k, kind in kinds.items():
+                    known[k] = _merged(known.get(k), kind)
+            final = {k: kind or T.StringType() for k, kind in known.items()}
+            parts = [p.select(*[(F.col(f"`{k}`") if k in p.columns else F.lit(None)).cast(kind).alias(k) for k, kind in final.items()]) for p, _ in parts]
+        while len(parts) > 1:  # a tree, whose depth grows with the logarithm of the number of chunks
+            parts = [a[0].unionByName(a[1]) if len(a) > 1 else a[0] for a in (parts[i : i + 2] for i in range(0, len(parts), 2))]
+        return parts[0]
+
+
+def _same(value):
+    return value
+
+
+def _kind(values: list) -> T.DataType | None:
+    """The type that holds all values; None if all are null."""
+    from pyspark.sql.types import _infer_type
+
+    kind = None
+    for v in values:
+        if v is not None:
+            kind = _merged(kind, T.DoubleType() if type(v) is float else T.LongType() if type(v) is int else _infer_type(v))
+    return kind
+
+
+def _merged(a: T.DataType | None, b: T.DataType | None) -> T.DataType | None:
+    if a is None or b is None or a == b:
+        return a if b is None else b
+    if {type(a), type(b)} == {T.LongType, T.DoubleType}:
+        return T.DoubleType()
+    if {type(a), type(b)} <= {T.StructType, T.ArrayType, T.MapType} and type(a) is type(b):
+        from pyspark.sql.types import _merge_type
+
+        return _merge_type(a, b)
+    return T.StringType()
 
 
 class FrameSource(Source):

@@ -24,20 +24,23 @@ class SqliteTable(DataSource):
     def schema(self) -> T.StructType:
         o = self.options
         with sqlite3.connect(o["path"]) as db:
-            cursor = db.execute(f"SELECT * FROM ({o['query']}) LIMIT 1000" if "query" in o else f'SELECT * FROM "{o["table"]}" LIMIT 1000')
-            names, rows = [d[0] for d in cursor.description], cursor.fetchall()
-        return T.StructType([T.StructField(n, _kind({type(r[i]) for r in rows} - {type(None)})) for i, n in enumerate(names)])
+            of = f"({o['query']})" if "query" in o else f'"{o["table"]}"'
+            names = [d[0] for d in db.execute(f"SELECT * FROM {of} LIMIT 0").description]
+            # A column of SQLite may hold values of any type, so all of them are asked.
+            quoted = ['"' + n.replace('"', '""') + '"' for n in names]
+            kinds = db.execute(f"SELECT {', '.join(f'group_concat(DISTINCT typeof({q}))' for q in quoted)} FROM {of}").fetchone()
+        return T.StructType([T.StructField(n, _kind(set((k or "").split(",")) - {"", "null"})) for n, k in zip(names, kinds, strict=True)])
 
     def reader(self, schema) -> DataSourceReader:
         return _SqliteReader(dict(self.options), schema)
 
 
-def _kind(seen: set[type]) -> T.DataType:
-    if seen == {int}:
+def _kind(seen: set[str]) -> T.DataType:
+    if seen == {"integer"}:
         return T.LongType()
-    if seen and seen <= {int, float}:
+    if seen and seen <= {"integer", "real"}:
         return T.DoubleType()
-    return T.BinaryType() if seen == {bytes} else T.StringType()
+    return T.BinaryType() if seen == {"blob"} else T.StringType()
 
 
 class _Range(InputPartition):

@@ -8,6 +8,8 @@ import re
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.model import ConfigError
 from millrace.sources.base import Source
@@ -35,8 +37,22 @@ class DeltaSource(Source):
         files = self.files if self.files is not None else state.files
         if not files:
             return spark.createDataFrame([], state.schema)
-        reader = spark.read.schema(state.schema) if state.schema is not None and len(state.schema) else spark.read
-        return reader.parquet(*files)
+        if not state.partitions:
+            reader = spark.read.schema(state.schema) if state.schema is not None and len(state.schema) else spark.read
+            return reader.parquet(*files)
+        # Values of partition columns stand in the log, by file; files of one partition are read together.
+        inside = T.StructType([f for f in state.schema.fields if f.name not in state.partitions])
+        groups: dict[tuple, list[str]] = {}
+        for file, add in zip(state.files, state.adds.values(), strict=True):
+            if file in set(files):
+                groups.setdefault(tuple(add["partitionValues"].get(c) for c in state.partitions), []).append(file)
+        parts = []
+        for values, some in groups.items():
+            held = {c: F.lit(v or None).cast(state.schema[c].dataType) for c, v in zip(state.partitions, values, strict=True)}
+            parts.append(spark.read.schema(inside).parquet(*some).select(*[held[f.name].alias(f.name) if f.name in held else F.col(f"`{f.name}`") for f in state.schema.fields]))
+        while len(parts) > 1:
+            parts = [a[0].unionByName(a[1]) if len(a) > 1 else a[0] for a in (parts[i : i + 2] for i in range(0, len(parts), 2))]
+        return parts[0]
 
     def batches(self, spark: SparkSession):
         """Records one after the other, without a pipe."""

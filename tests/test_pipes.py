@@ -217,7 +217,7 @@ def test_kafka_options():
 def test_manager(spark, tmp_path):
     good, bad = write(tmp_path / "a.csv", CSV.format(age=25)), write(tmp_path / "b.csv", "user_id,username,age\n3,eve,x\n")
     manager = m.PipeManager([m.Pipe(m.CsvSource(f), m.CsvSink(f + ".out"), model=User, spark=spark) for f in (good, bad)])
-    with pytest.raises(m.PipelineError, match="has not been started"):
+    with pytest.raises(m.PipelineError, match="before start"):
         _ = manager.pipe_reports
     manager.run()
     assert (manager.report.total_processed, manager.report.success_count, manager.report.error_count) == (3, 2, 1)
@@ -298,7 +298,7 @@ def test_start_twice_and_shutdown(spark, tmp_path):
     df = spark.range(2).mapInArrow(slow, "id long")
     with m.Pipe(m.FrameSource(df), m.ParquetSink(str(tmp_path / "o"))) as p:
         p.start()
-        with pytest.raises(m.PipelineError, match="already running"):
+        with pytest.raises(m.PipelineError, match="once at a time"):
             p.start()
         assert not p.wait(0.2)
     assert p.report.state is PipeState.ABORTED
@@ -337,3 +337,57 @@ def test_validation_equals_the_model(spark):
             assert x["_errors"][0]["type"] == "int_out_of_range"
             continue
         assert x["_status"] == "validated" and repr(x["_validated"].asDict()) == repr(want), (i, f, b, o)
+
+
+def test_tables_that_need_more_of_a_reader_are_refused(spark, tmp_path):
+    import json
+
+    df = spark.range(3)
+    at = str(tmp_path / "t")
+    m.Pipe(m.FrameSource(df), m.DeltaSink(at), spark=spark).run()
+    for k, action in enumerate([{"protocol": {"minReaderVersion": 3, "minWriterVersion": 7, "readerFeatures": ["deletionVectors"]}}, {"protocol": {"minReaderVersion": 2, "minWriterVersion": 5}}, {"add": {"path": "x", "deletionVector": {"storageType": "u"}}}]):
+        path = f"{at}/_delta_log/{2:020d}.json"
+        with open(path, "w") as file:
+            file.write(json.dumps(action))
+        with pytest.raises(m.PipelineError):
+            m.DeltaSource(at).frame(spark)
+        assert m.DeltaSource(at, version=1).frame(spark).count() == 3
+
+
+def test_a_later_text_in_a_column_of_numbers(spark, tmp_path):
+    import sqlite3
+
+    path = tmp_path / "x.db"
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE t (a, b)")
+        db.executemany("INSERT INTO t VALUES (?, ?)", [(i if i < 1500 else "many", i) for i in range(1600)])
+    got = m.SqlSource(f"sqlite:{path}", table_name="t").frame(spark)
+    assert dict(got.dtypes) == {"a": "string", "b": "bigint"} and got.filter("a = 'many'").count() == 100
+
+
+def test_cells_with_line_breaks(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text('a,b\n1,"x\ny ""q"""\n2,z\n')
+    rows = [("1", 'x\ny "q"'), ("2", "z")]
+    assert [tuple(r) for r in m.CsvSource(str(path)).frame(spark).collect()] == rows
+    assert [tuple(r) for r in m.CsvSource(str(path), multiline=True).frame(spark).collect()] == rows
+
+
+def test_counts_while_a_pipe_runs(spark, tmp_path):
+    import time
+
+    def slow(batches):
+        for b in batches:
+            time.sleep(0.05)
+            yield b
+
+    seen = []
+    df = spark.range(0, 40_000, 1, 24).mapInArrow(slow, "id long")
+    pipe = m.Pipe(m.FrameSource(df), m.ParquetSink(str(tmp_path / "x"), single=False), spark=spark)
+    pipe.run(on_report_update=lambda r: seen.append(r.total_processed), interval=0.02)
+    assert seen == sorted(seen) and seen[-1] == 40_000
+
+
+def test_parts_keep_settings(spark):
+    pipe = m.Pipe(m.FrameSource(spark.range(2)), prune_columns=False, native_validation=False, spark=spark)
+    assert all(not p.prune_columns and not p.native_validation for p in m.PipeManager.parallelize(pipe, 2).pipes)
