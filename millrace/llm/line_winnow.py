@@ -67,14 +67,19 @@ def word_edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def word_counts(texts: pa.Array) -> np.ndarray:
     """The number of words of each text; 0 for null."""
     ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
-    ends = ends - ends[0]
-    white = _WHITE[data]
-    begins = ~white
-    begins[1:] &= white[:-1]
-    first = ends[:-1][ends[:-1] < ends[1:]]
-    begins[first] = ~white[first]
-    return np.diff(np.concatenate([[0], np.cumsum(begins)])[ends])
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    out, i = np.zeros(len(texts), np.int64), 0
+    while i < len(texts):  # some texts at a time, so that little memory is needed beside them
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + 4 * CHUNK_BYTES, "right")) - 1)
+        some, at = data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
+        white = _WHITE[some]
+        begins = ~white
+        begins[1:] &= white[:-1]
+        first = at[:-1][at[:-1] < at[1:]]
+        begins[first] = ~white[first]
+        out[i:j] = np.diff(np.searchsorted(np.flatnonzero(begins), at))
+        i = j
+    return out
 
 
 class Passages:
