@@ -62,3 +62,35 @@ def test_training_helps_on_held_out_texts(spark):
 
 def test_empty(spark, odd):
     assert q.lattice_scores(odd.limit(0), PATH).count() == 0
+
+
+@pytest.mark.parametrize("learn", [True, False])
+def test_scores_by_brute_force(spark, learn):
+    """Weights counted and all segmentations summed here, without the module's recursion."""
+    texts = {i: ["the nation of", "then the", "", "onto the né", None, "the then of of"][i % 6] for i in range(36)}
+    got = {r.doc_id: r for r in q.lattice_scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), PATH, learn=learn).collect()}
+    train = [t or "" for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts, ends = Counter(w for t in train for w in t.split()), len(train)
+    vocabulary = q.Vocabulary(PATH)
+    weights = vocabulary.prior.copy()
+    if learn:
+        for w, c in counts.items():
+            for i in vocabulary.model.encode(w):
+                weights[i] += c
+        weights[vocabulary.model.eos_id()] += ends
+    p = weights / weights.sum()
+    kind = {vocabulary.model.id_to_piece(i): i for i in vocabulary.ids}
+    tokens, kinds = sum(counts.values()) + ends, len(counts) + 1
+
+    def every(text):
+        if not text:
+            return 1.0
+        spelt = math.prod(p[kind[f"<0x{b:02X}>"]] for b in text[0].encode()) * every(text[1:])
+        return spelt + sum(p[kind[text[:k]]] * every(text[k:]) for k in range(1, len(text) + 1) if text[:k] in kind)
+
+    def token(way, c):
+        return (c + kinds * way) / (tokens + kinds) if learn else way
+
+    for i, t in texts.items():
+        ways = [token(every(q.SPACE + w), counts[w]) for w in (t or "").split()] + [token(p[vocabulary.model.eos_id()], ends)]
+        assert math.isclose(got[i].score, sum(map(math.log10, ways)), rel_tol=1e-9), (i, t)

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import io
+import wave
+import zipfile
 import zlib
 from collections import Counter
 
@@ -45,3 +48,33 @@ def test_ranges_and_retries(spark, odd, tmp_path):
 def test_wav_is_checked():
     with pytest.raises(ValueError):
         q.from_wav(q.to_wav(b"ab") + b"x")
+
+
+def test_archives_by_other_readers(spark, odd, odd_rows, tmp_path):
+    """What is stored, read with zipfile and wave alone, against texts padded here."""
+    folder = str(tmp_path / "archives")
+    listed = q.write_archives(odd, folder, id_col="doc_id", text_col="text").collect()
+    stored = Counter()
+    for r in listed:
+        with zipfile.ZipFile(r.path) as archive:
+            assert archive.testzip() is None and len(archive.namelist()) == r.members
+            for m in archive.infolist():
+                with wave.open(io.BytesIO(archive.read(m))) as sound:
+                    assert (sound.getnchannels(), sound.getsampwidth()) == (1, 1)
+                    stored[(m.filename.split(".")[0], sound.readframes(sound.getnframes()))] += 1
+    expected = Counter()
+    for i, text, *_ in odd_rows:
+        data = (text or "").encode()
+        while not data or len(data) % 192:
+            data += b" "
+        expected[("null" if i is None else str(i), data)] += 1
+    assert stored == expected
+
+
+def test_features_by_plain_loops():
+    for data in (b" " * 192, bytes(range(192)), "é中 text".encode().ljust(192), bytes([0, 255] * 96)):
+        x, n = [b - 128 for b in data], len(data)
+        crossings = sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:], strict=False))
+        levels = [sum(b // 32 == k for b in data) * 1000 // n for k in range(8)]
+        wanted = f"peak={max(map(abs, x))} mean={sum(x) * 1000 // n} energy={sum(v * v for v in x) * 1000 // n} crossings={crossings * 1000 // n} levels={'/'.join(map(str, levels))}"
+        assert q.sound_features(data) == wanted

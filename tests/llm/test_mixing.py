@@ -3,6 +3,8 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 
+import pytest
+
 from millrace.llm import mixing
 from millrace.llm.common import Scratch
 
@@ -69,3 +71,19 @@ def test_exponent_by_brute_force(spark):
 
     best = max(k / 10000 for k in range(10001) if entropy(k / 10000) >= 0.9 * math.log(3))
     assert abs(got - best) < 2e-4
+
+
+@pytest.mark.parametrize("budget", [None, 20_000.0, 27_600.0])
+def test_no_document_is_used_too_often(spark, budget):
+    rows = [(i, "w " * 10, "big" if i < 900 else "small") for i in range(920)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixture(df, target_entropy=0.99, max_repeats=3.0, budget=budget).collect()
+    assert max(Counter(r.doc_id for r in got).values()) <= 3
+    if budget:
+        assert abs(sum(r.n_tokens for r in got) - budget) <= 20
+
+
+def test_a_budget_beyond_all_weights_is_an_error(spark):
+    df = spark.createDataFrame([(i, "w " * 10, "big" if i < 900 else "small") for i in range(920)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="budget"):
+        mixing.mixture(df, max_repeats=3.0, budget=60_000.0)

@@ -5,7 +5,8 @@ from collections import Counter
 
 import numpy as np
 
-from millrace.llm.outliers import P, chi2_cdf, chi2_quantile, robust_outliers
+from millrace.llm.docstats import counts
+from millrace.llm.outliers import FEATURES, SHARE, TAIL, P, chi2_cdf, chi2_quantile, robust_outliers, transformed
 from tests.llm.conftest import prose
 
 
@@ -54,3 +55,36 @@ def test_quantiles():
 
 def test_empty(spark, odd):
     assert robust_outliers(odd.limit(0)).count() == 0
+
+
+def determinant_estimate(x, draw):
+    """The covariance of least determinant over SHARE of the rows, by exact concentration from 150 random starts, then reweighted."""
+    floor, h = np.diag(np.square(list(FEATURES.values()))), int(np.ceil(SHARE * len(x)))
+    far = lambda mean, cov: np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov), x - mean)
+    scaled = lambda part, share: np.cov(part.T, bias=True) * (share / chi2_cdf(P + 2, chi2_quantile(P, 1 - share)) if share < 0.999 else 1) + floor
+    best = None
+    for _ in range(150):
+        part = x[draw.choice(len(x), P + 1, replace=False)]
+        for _ in range(30):
+            part = x[np.argsort(far(part.mean(0), scaled(part, SHARE)), kind="stable")[:h]]
+        found = np.linalg.slogdet(scaled(part, SHARE))[1], part
+        best = found if best is None or found[0] < best[0] else best
+    part = best[1]
+    near = x[far(part.mean(0), scaled(part, SHARE)) <= chi2_quantile(P, 0.025)]
+    return far(near.mean(0), scaled(near, max(len(near) / len(x), 0.975)))
+
+
+def test_verdicts_by_exact_concentration(spark):
+    r = random.Random(8)
+    rows = [(i, prose(r, r.randint(60, 500)), "en", "s0") for i in range(300)]
+    for i in range(60):
+        words = prose(r, r.randint(60, 300)).split()
+        rows.append((1000 + i, " ".join(w + "*" * (i % 4) if i % 2 else w.upper() for w in words), "en", "s0"))
+    got = {x.doc_id: x for x in robust_outliers(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    judged = [(i, transformed(counts(t))) for i, t, *_ in rows if not got[i].base_failed]
+    wanted = determinant_estimate(np.array([x for _, x in judged]), np.random.default_rng(0))
+    distance = np.array([got[i].distance for i, _ in judged])
+    clear = np.abs(np.log(wanted / chi2_quantile(P, TAIL))) > 0.2
+    assert clear.mean() > 0.9
+    assert [got[i].kept for (i, _), c in zip(judged, clear, strict=True) if c] == (wanted[clear] <= chi2_quantile(P, TAIL)).tolist()
+    assert np.median(np.abs(np.log(distance / wanted))) < 0.2
