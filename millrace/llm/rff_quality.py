@@ -4,8 +4,8 @@ The statistics of every text are computed once and written as a narrow table. A
 Gaussian kernel over the standardised statistics is approximated by random Fourier
 features; each partition sums its part of the normal equations, the parts are added,
 and one small linear system gives the scores. Part of the training rows, kept out of
-the fit, calibrates them: pooling adjacent violators gives a rising step function
-from score to the share of label 1, smoothed by one case of either label.
+the fit, calibrates them: pooling adjacent violators, rows of equal scores first,
+gives rising shares of label 1, between whose places scores are read by straight lines.
 
 Training rows are a bounded sample of the labelled rows (MAX_TRAIN, by hash of the
 id); scores cover all rows.
@@ -60,17 +60,17 @@ class Model:
 
 
 def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pooled adjacent violators: centres of the pools and their rising values in (0, 1)."""
-    order = np.lexsort((label, raw))
+    """Pooled adjacent violators: centres of the pools and their rising values, kept within 0.001 and 0.999. Rows of one raw score are one pool."""
+    distinct, place = np.unique(np.round(raw, 9), return_inverse=True)  # copies' scores may differ in the last bits
+    rows, ones = np.bincount(place).astype(float), np.bincount(place, label)
     pools: list[list[float]] = []  # sum of labels, rows, sum of raw
-    for r, y in zip(raw[order], label[order], strict=True):
-        pools.append([y, 1.0, r])
+    for r, n, y in zip(distinct, rows, ones, strict=True):
+        pools.append([y, n, n * r])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             y2, n2, r2 = pools.pop()
             pools[-1] = [pools[-1][0] + y2, pools[-1][1] + n2, pools[-1][2] + r2]
     at = np.array([p[2] / p[1] for p in pools])
-    value = np.array([(p[0] + 1 * (p[0] / p[1])) / (p[1] + 1) for p in pools])
-    return at, np.clip(value, 0.001, 0.999)
+    return at, np.clip([p[0] / p[1] for p in pools], 0.001, 0.999)
 
 
 def statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

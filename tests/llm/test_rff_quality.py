@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 
+from millrace.llm import rff_quality as q
 from millrace.llm.rff_quality import accepted, classify, isotonic
 from tests.llm.conftest import prose
 
@@ -50,3 +51,59 @@ def test_isotonic():
     label = (r.random(500) < 1 / (1 + np.exp(-3 * raw))).astype(float)
     at, value = isotonic(raw, label)
     assert (np.diff(at) > 0).all() and (np.diff(value) >= 0).all()
+
+
+def rising(raw, label):
+    """Isotonic regression by its max-min formula over distinct raw scores: value of each."""
+    at = sorted(set(raw))
+    groups = [[y for x, y in zip(raw, label, strict=True) if x == a] for a in at]
+
+    def mean(i, j):
+        inside = [y for g in groups[i : j + 1] for y in g]
+        return sum(inside) / len(inside)
+
+    return at, [max(min(mean(i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))]
+
+
+def test_pooling_by_brute_force():
+    r = np.random.default_rng(2)
+    for n in (1, 2, 7, 60):
+        raw, label = r.integers(0, 25, n) / 4, r.integers(0, 2, n).astype(float)
+        at, value = isotonic(raw, label)
+        places, wanted = rising(raw.tolist(), label.tolist())
+        pools = {}
+        for place, v in zip(places, wanted, strict=True):
+            pools.setdefault(round(v, 12), []).extend([place] * int((raw == place).sum()))
+        assert np.allclose(at, [np.mean(p) for p in pools.values()])
+        assert np.allclose(value, np.clip(list(pools), 0.001, 0.999))
+
+
+def test_ties_of_both_labels_are_one_pool():
+    at, value = isotonic(np.array([0.0, 1.0, 1.0, 1.0, 2.0]), np.array([0.0, 0.0, 0.0, 1.0, 1.0]))
+    assert at.tolist() == [0.0, 1.0, 2.0] and np.allclose(value, [0.001, 1 / 3, 0.999])
+
+
+def test_ridge_by_brute_force(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(90, q.N_STATS)) * r.uniform(0.5, 3, q.N_STATS) + 1
+    y = (x[:, 0] + x[:, 3] > 2).astype(int)
+    part = ["calibrate" if i % 4 == 0 else "fit" for i in range(90)]
+    train = spark.createDataFrame([(v.tolist(), int(t), p) for v, t, p in zip(x, y, part, strict=True)], "stats array<double>, label int, part string")
+    model = q.fit(train.repartition(5))
+    fit_x, fit_y = x[[p == "fit" for p in part]], y[[p == "fit" for p in part]]
+    z = (fit_x - fit_x.mean(0)) / fit_x.std(0)
+    draw = np.random.default_rng(q.SEED)
+    w, b = draw.normal(size=(q.N_STATS, q.FEATURES)) / np.sqrt(q.N_STATS), draw.uniform(0, 2 * np.pi, q.FEATURES)
+    design = np.array([[np.sqrt(2 / q.FEATURES) * np.cos(sum(v[k] * w[k, f] for k in range(q.N_STATS)) + b[f]) for f in range(q.FEATURES)] + [1.0] for v in z])
+    # Ridge as least squares with a row for each penalty.
+    penalties = np.diag(np.sqrt([q.RIDGE] * q.FEATURES + [1e-6]))
+    wanted = np.linalg.lstsq(np.vstack([design, penalties]), np.concatenate([fit_y, np.zeros(q.FEATURES + 1)]), rcond=None)[0]
+    assert np.allclose(model.weights, wanted, atol=1e-6)
+
+
+def test_features_approximate_the_kernel():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(40, q.N_STATS))
+    f = q.Model(np.zeros(q.N_STATS), np.ones(q.N_STATS), None, None).features(x)[:, :-1]
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / (2 * q.N_STATS))
+    assert np.abs(f @ f.T - kernel).mean() < 0.08
