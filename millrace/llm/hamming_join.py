@@ -21,7 +21,9 @@ capped or sampled.
 Definitions for odd input: a null or empty text, or one without words, has no set
 (n_shingles 0) and is linked with nothing; a text of fewer than n words has one
 shingle, its whole sequence; rows sharing an id are one document, whose links are
-those of all of its rows; a row with a null id is kept and linked with nothing.
+those of all of its rows; a row with a null id is kept and linked with nothing; texts of
+any length are compared whole; an empty table gives an empty result; further columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
