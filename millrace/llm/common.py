@@ -86,16 +86,17 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 MOST_BITS = 1 << 26
 
 
-def _marked(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame | None:
-    """rows with __hit, true where the key may be in wanted; None if wanted is too large for a table that tells."""
+def _marked(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> tuple[DataFrame, str] | None:
+    """rows with a column, and its name, that is true where the key may be in wanted; None if wanted is too large for a table that tells."""
     n = wanted.count()
     if 4 * n > MOST_BITS:
         return None
     bits = min(MOST_BITS, 1 << max(10, (32 * n - 1).bit_length()))
     slot = lambda k: F.pmod(F.xxhash64(k), F.lit(bits))
-    mask = wanted.select(slot(wanted_key).alias("slot")).groupBy(F.shiftright("slot", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("__mask"))
-    marked = rows.withColumn("__slot", slot(key)).join(F.broadcast(mask), F.shiftright("__slot", 6) == F.col("__word"), "left")
-    return marked.withColumn("__hit", F.coalesce(F.expr("shiftrightunsigned(__mask, cast(__slot & 63 as int)) & 1") == 1, F.lit(False))).drop("__slot", "__word", "__mask")
+    at, word, bits_of, hit = fresh(rows, "slot", "word", "mask", "hit")
+    mask = wanted.select(slot(wanted_key).alias(at)).groupBy(F.shiftright(at, 6).alias(word)).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({at} & 63 as int))")).alias(bits_of))
+    marked = rows.withColumn(at, slot(key)).join(F.broadcast(mask), F.shiftright(at, 6) == F.col(word), "left")
+    return marked.withColumn(hit, F.coalesce(F.expr(f"shiftrightunsigned({bits_of}, cast({at} & 63 as int)) & 1") == 1, F.lit(False))).drop(at, word, bits_of), hit
 
 
 def likely(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
@@ -105,13 +106,13 @@ def likely(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column)
     MOST_BITS bits; a larger `wanted` lets more other rows through, and none is lost.
     """
     marked = _marked(rows, key, wanted, wanted_key)
-    return rows if marked is None else marked.filter("__hit").drop("__hit")
+    return rows if marked is None else marked[0].filter(marked[1]).drop(marked[1])
 
 
 def unlikely(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
     """The rows that `likely` leaves out, none of whose keys is in wanted."""
     marked = _marked(rows, key, wanted, wanted_key)
-    return rows.limit(0) if marked is None else marked.filter("not __hit").drop("__hit")
+    return rows.limit(0) if marked is None else marked[0].filter(f"not {marked[1]}").drop(marked[1])
 
 
 def crc_mod(id_column: Column, divisor: int) -> Column:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, session_of
+from millrace.llm.common import Scratch, fresh, likely, session_of, unlikely
 from millrace.llm.components import components
 
 POSITIONS, CHUNKS, DISTANCE, SEED = 64, 13, 25, 11
@@ -129,7 +129,7 @@ def key_rows(classes: DataFrame, positions: int, chunks: int, distance: int) ->
 
 
 def _sets(df: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFrame) -> DataFrame:
-    """rep, grams: the full sets of the wanted ids."""
+    """rep, grams: the full sets of the wanted ids (distinct); few texts beside theirs are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +137,7 @@ def _sets(df: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFrame)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.list_(pa.int64()))], names=["rep", "grams"])
 
     docs = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).filter("rep is not null and text is not null")
-    return docs.join(wanted.hint("shuffle_hash"), "rep", "left_semi").mapInArrow(run, "rep long, grams array<long>").filter("size(grams) > 0")
+    return likely(docs, F.col("rep"), wanted, F.col("rep")).join(wanted, "rep").select("rep", "text").mapInArrow(run, "rep long, grams array<long>").filter("size(grams) > 0")
 
 
 def _close(pairs: DataFrame, classes: DataFrame, distance: int, percent: int) -> DataFrame:
@@ -255,7 +255,8 @@ def near_duplicates(
     members = scratch.keep(keys.join(hubs, "key"), "members")
 
     pairs = _close(members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), classes, distance, percent)
-    sets = scratch.keep(_sets(df, id_col, text_col, n, members.select("rep").distinct()), "sets")
+    wanted = scratch.keep(members.select("rep").distinct(), "wanted")
+    sets = scratch.keep(_sets(df, id_col, text_col, n, wanted), "sets")
     twice = _same_id_links(signed)
     links = scratch.keep(_linked(pairs, sets, percent).union(twice), "links")
     labels = components(links, scratch)
@@ -276,6 +277,21 @@ def near_duplicates(
     return named.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.coalesce(component == F.col("id"), F.lit(True))).alias("kept"))
 
 
+def drop_near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """df with one document of each group of near duplicates, the one with the smallest id.
+
+    All rows of an id stay or go together, and stay if one of them does. Rows whose id
+    is surely not among those that go are not shuffled.
+    """
+    scratch = Scratch(session_of(df), "near")
+    [name] = fresh(df, "id")
+    judged = near_duplicates(df, id_col=id_col, text_col=text_col, n=n, percent=percent)
+    gone = scratch.keep(judged.groupBy(F.col(id_col).alias(name)).agg(F.bool_or("kept").alias("kept")).filter("not kept").select(name), "gone")
+    key = F.col(f"`{id_col}`").cast("long")
+    checked = likely(df, key, gone, F.col(name)).join(gone, key == F.col(name), "left").filter(F.col(name).isNull()).drop(name)
+    return checked.unionByName(unlikely(df, key, gone, F.col(name)))
+
+
 def _same_id_links(signed: DataFrame) -> DataFrame:
     """Links from rows of one id with different sets: their classes' smallest ids belong together."""
     known = signed.filter("skey is not null and id is not null").select("id", "skey")

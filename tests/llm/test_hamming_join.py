@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from millrace.llm.hamming_join import CHUNKS, DISTANCE, POSITIONS, chunk_keys, near_duplicates
+from millrace.llm.hamming_join import CHUNKS, DISTANCE, POSITIONS, chunk_keys, drop_near_duplicates, near_duplicates
 from tests.llm.conftest import prose
 
 
@@ -54,5 +54,16 @@ def test_keys_find_every_pair_within_the_distance():
         assert any(not wrong & set(k) for k in keys)
 
 
+def test_one_of_each_group_stays(spark, odd, odd_rows):
+    """All rows of an id stay or go together; null ids stay; columns keep their names, values and order, whatever they are called."""
+    stays = {i for i, _, _, kept in brute(odd_rows, 5) if kept}
+    clash = odd.withColumns({c: odd.n_chars for c in ("__slot", "__word", "__mask", "__hit", "__id")})
+    got = drop_near_duplicates(clash)
+    assert got.columns == clash.columns
+    held = Counter((r.doc_id, r.text, r["__slot"], r["__hit"], r["__id"]) for r in got.collect())
+    assert held == Counter((i, t, *[len(t or "")] * 3) for i, t, *_ in odd_rows if i in stays)
+    assert drop_near_duplicates(clash.limit(0)).count() == 0
+
+
 def test_empty(spark, odd):
     assert near_duplicates(odd.limit(0)).count() == 0
