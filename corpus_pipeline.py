@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe_tree import encode_decode
-from millrace.llm.common import Scratch, documents, fresh, table
-from millrace.llm.hamming_join import near_duplicates
+from millrace.llm.common import Scratch, documents, table
+from millrace.llm.hamming_join import drop_near_duplicates
 from millrace.llm.line_winnow import drop_repeated_lines
 from millrace.llm.mixing import mixed
 from millrace.llm.rff_quality import accepted
@@ -46,9 +46,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    [id_name] = fresh(docs, "id")
-    kept = near_duplicates(docs, n=SHINGLE, percent=PERCENT).filter("kept").select(F.col("doc_id").alias(id_name)).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(id_name)), "left_semi")
+    return drop_near_duplicates(docs, n=SHINGLE, percent=PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
