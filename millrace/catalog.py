@@ -18,6 +18,7 @@ from millrace.functions.coerce import compat_cast
 from millrace.model import ERR, POSITION, RAW, STATUS, enveloped
 from millrace.operators.route import failed, succeeded
 from millrace.plans.coordinators import merge_files
+from millrace.sinks.base import join_parquet
 from millrace.sources.base import count_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -511,10 +512,30 @@ def delta_partitioned_read(spark, sf_dir):
 @query("SELECT p_partkey, p_name FROM part")
 def parquet_row_groups(spark, sf_dir):
     """Each row group by its number, put together again."""
+    import pyarrow as pa
     import pyarrow.parquet as pq
+    from pyspark.sql.pandas.types import to_arrow_schema
 
     at, df = workspace(spark), table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    pq.write_table(df.toArrow(), f"{at}/x.parquet", row_group_size=500)
+    schema = to_arrow_schema(df.schema)
+
+    def write(batches):
+        name = f"{at}/{uuid.uuid4().hex}.parquet"
+        with pq.ParquetWriter(name, schema) as out:
+            rest = schema.empty_table()
+            for batch in batches:
+                rest = pa.concat_tables([rest, pa.Table.from_batches([batch]).cast(schema)])
+                if full := rest.num_rows // 500 * 500:
+                    out.write_table(rest.slice(0, full), row_group_size=500)
+                    rest = rest.slice(full)
+            if rest.num_rows:
+                out.write_table(rest)
+        yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    names = [r[0] for r in df.mapInArrow(write, "name string").collect()]  # a row per task
+    join_parquet(spark, names, f"{at}/x.parquet")
+    for name in names:
+        os.remove(name)
     parts = [s.frame(spark) for s in m.ParquetSource(f"{at}/x.parquet").split(3)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]) if len(parts) == 3 else parts[0]
 

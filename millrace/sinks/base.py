@@ -6,7 +6,7 @@ import os
 import shutil
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -97,6 +97,33 @@ def write_single(df: DataFrame, path: str, kind: str, options: dict) -> None:
             os.remove(crc)
 
 
+def join_parquet(spark: SparkSession, parts: list[str], target: str) -> bool:
+    """A file of the row groups of all parts in their order, copied as they are; False if the parts' columns differ, and nothing is written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    parquet = jvm.org.apache.parquet.hadoop
+    files = [parquet.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(p), conf) for p in parts]
+    footers = []
+    for file in files:
+        reader = parquet.ParquetFileReader.open(file)
+        footers.append(reader.getFooter())
+        reader.close()
+    first = footers[0].getFileMetaData()
+    schema = first.getSchema()
+    if not all(schema.equals(x.getFileMetaData().getSchema()) for x in footers):
+        return False
+    overwrite = getattr(parquet, "ParquetFileWriter$Mode").OVERWRITE
+    out = parquet.ParquetFileWriter(parquet.util.HadoopOutputFile.fromPath(jvm.org.apache.hadoop.fs.Path(target), conf), schema, overwrite, 128 << 20, 0)
+    out.start()
+    for file, footer in zip(files, footers, strict=True):
+        stream = file.newStream()
+        for group in footer.getBlocks():
+            if group.getRowCount():  # the writer takes no empty one
+                out.appendRowGroup(stream, group, False)
+        stream.close()
+    out.end(first.getKeyValueMetaData())
+    return True
+
+
 def _pack(plain: str, path: str) -> None:
     import zstandard
 

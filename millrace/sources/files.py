@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -136,13 +137,15 @@ class ParquetSource(Source):
             return df
         if len(self.paths) != 1:
             raise ConfigError("row groups can be chosen of a single file only")
-        sizes = row_group_rows(self.paths[0])
-        starts = [sum(sizes[:i]) for i in range(len(sizes))]
-        index = F.col("_metadata.row_index")
-        wanted = F.lit(False)
-        for g in self.row_groups:
-            wanted = wanted | ((index >= starts[g]) & (index < starts[g] + sizes[g]))
-        return df.filter(wanted)
+        ends = list(accumulate(row_group_rows(self.paths[0])))
+        starts = [0, *ends][: len(ends)]
+        runs: list[tuple[int, int]] = []
+        for start, end in sorted({(starts[g], ends[g]) for g in self.row_groups}):
+            if runs and runs[-1][1] == start:
+                runs[-1] = (runs[-1][0], end)
+            else:
+                runs.append((start, end))
+        return df.filter(_within(F.col("_metadata.row_index"), runs))
 
     def split(self, workers: int) -> list[Source]:
         """Runs of row groups next to each other, the remainder to the last; at most one part for each group."""
@@ -155,11 +158,19 @@ class ParquetSource(Source):
         return [ParquetSource(self.paths[0], groups[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _within(index: Column, runs: list[tuple[int, int]]) -> Column:
+    """Whether index is in one of the runs, which are in order: a search tree, whose depth is the logarithm of their number."""
+    if len(runs) < 2:
+        return (index >= runs[0][0]) & (index < runs[0][1]) if runs else F.lit(False)
+    half = len(runs) // 2
+    return F.when(index < runs[half][0], _within(index, runs[:half])).otherwise(_within(index, runs[half:]))
+
+
 def row_group_rows(path: str) -> list[int]:
     """Rows of each row group, from the footer."""
     import pyarrow.parquet as pq
 
-    meta = pq.ParquetFile(path.removeprefix("file://")).metadata
+    meta = pq.read_metadata(path.removeprefix("file://"))
     return [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
 
 

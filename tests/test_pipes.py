@@ -173,6 +173,18 @@ def test_parquet_row_groups(spark, tmp_path):
     assert len(m.ParquetSource(at).split(9)) == 4
 
 
+def test_many_row_groups(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    at = str(tmp_path / "a.parquet")
+    pq.write_table(pa.table({"a": list(range(30000))}), at, row_group_size=10)
+    assert [p.frame(spark).count() for p in m.ParquetSource(at).split(3)] == [10000] * 3
+    odd = m.ParquetSource(at, row_groups=list(range(1, 3000, 2))).frame(spark)
+    assert {r.a for r in odd.collect()} == {i for i in range(30000) if i // 10 % 2}
+    assert m.ParquetSource(at, row_groups=[]).frame(spark).count() == 0 and [r.a for r in m.ParquetSource(at, row_groups=[-1, -1]).frame(spark).collect()] == list(range(29990, 30000))
+
+
 def test_sqlite(spark, tmp_path):
     uri = f"sqlite:{tmp_path}/deep/a.db"
     df = spark.createDataFrame([("1", "al", None), ("2", "bo", "x")], "id string, name string, note string")
