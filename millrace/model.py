@@ -5,10 +5,11 @@ from __future__ import annotations
 import enum
 import logging
 import sys
+import tempfile
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ERRORS = "array<struct<msg:string,type:string,loc:array<string>>>"
@@ -53,7 +54,7 @@ def enveloped(df: DataFrame, *, generate_ids: bool = True, positions: bool = Fal
     """Each row of df as raw record in an envelope.
 
     Ids are random (32 hex digits); position is a running number over the partitions of
-    df, and costs a count of each partition first.
+    df, which are written to the checkpoint folder and counted first.
     """
     out = df.select(F.struct(*[df[c] for c in df.columns]).alias(RAW)) if df.columns else df
     new_id = F.regexp_replace(F.uuid() if hasattr(F, "uuid") else F.expr("uuid()"), "-", "") if generate_ids else F.lit(None).cast("string")
@@ -64,9 +65,22 @@ def enveloped(df: DataFrame, *, generate_ids: bool = True, positions: bool = Fal
     )
 
 
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """What spark.checkpoint.dir names; where it is unset and Spark runs in one process, a temporary folder."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ConfigError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+
+
 def _numbered(df: DataFrame) -> DataFrame:
+    """Sorted or shuffled again, the same rows may be in other partitions; so they are counted and numbered where one run has put them."""
     spark = df.sparkSession
-    placed = df.withColumn("__at", F.monotonically_increasing_id())
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(_checkpoint_dir(spark))
+    placed = df.withColumn("__at", F.monotonically_increasing_id()).checkpoint()
     part = F.shiftright("__at", 33)
     sizes = sorted(placed.groupBy(part.alias("part")).count().collect())
     starts, total = [], 0

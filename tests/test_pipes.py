@@ -148,6 +148,13 @@ def test_ids_and_positions(spark):
     assert sorted((r["_position"], r["_raw"]["a"]) for r in rows) == [(i, i) for i in range(100)]
 
 
+def test_positions_of_sorted_rows(spark):
+    """A sort cuts its partitions by a sample, another one in each run."""
+    df = spark.range(600_000).select(((F.col("id") * 7919) % 600_000).alias("a")).orderBy("a")
+    plan = m.Pipe(m.FrameSource(df), positions=True, spark=spark).plan()
+    assert plan.filter("_raw.a <> _position").count() == 0 and plan.count() == 600_000
+
+
 def test_excel(spark, tmp_path):
     at = str(tmp_path / "a.xlsx")
     df = spark.createDataFrame([("x<&>", 1.5, True, None), ("y", 2.0, False, "t")], "s string, d double, b boolean, n string")
