@@ -23,7 +23,7 @@ def codec(path: str) -> str | None:
 
 
 class CsvSink(Sink):
-    """Text with a header; null is an empty cell, booleans are true and false."""
+    """Text with a header; null is an empty cell, booleans are true and false. Spaces and breaks at the edges of a cell stay."""
 
     def __init__(self, path: str, delimiter: str = ",", quotechar: str = '"', fieldnames: list[str] | None = None, **more):
         super().__init__(path, fieldnames=fieldnames, **more)
@@ -32,7 +32,7 @@ class CsvSink(Sink):
     def write(self, df: DataFrame) -> dict:
         df = self.chosen(df)
         text = df.select(*[csv_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
-        options = {"header": True, "sep": self.delimiter, "quote": self.quotechar, "escape": self.quotechar, "emptyValue": ""}
+        options = {"header": True, "sep": self.delimiter, "quote": self.quotechar, "escape": self.quotechar, "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
         options |= {"compression": c} if (c := codec(self.path)) else {}
         if self.single:
             write_single(text, self.path, "csv", options)

@@ -12,6 +12,7 @@ from pydantic import BaseModel, ConfigDict
 from pyspark.sql import functions as F
 
 import millrace as m
+from millrace import catalog
 from millrace.model import PipeState
 from millrace.sinks.base import part_path
 from millrace.sources.files import json_values, row_group_rows
@@ -142,6 +143,14 @@ def test_hooks(spark, tmp_path):
     assert routed.report.error_count == 1 and lines(tmp_path / "e.jsonl")[0]["_errors"][0]["type"] == "hook_error"
 
 
+def test_csv_cells_keep_their_edges(spark, tmp_path):
+    texts = [" a ", "\ta\n", "\n", " ", "\r", "a\r\nb\r\n", '\n"a', ' "a" ', "\x0b", "\x00", "a,\n", '"', '"\n"', None]
+    df = spark.createDataFrame([(i, t, "en" if i % 2 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.QUERIES["csv_text_roundtrip"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r.text, r.lang) for r in got] == [(t or "", "en" if i % 2 else None) for i, t in enumerate(texts)]
+
+
 def test_ids_and_positions(spark):
     rows = m.Pipe(m.RowsSource([{"a": i} for i in range(100)], chunk=7), positions=True).plan().collect()
     assert len({r["_id"] for r in rows}) == 100 and all(len(r["_id"]) == 32 for r in rows)
