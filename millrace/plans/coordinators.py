@@ -6,8 +6,10 @@ import json
 import os
 import shutil
 
+from pyspark.sql import SparkSession
+
 from millrace.model import WorkerResult
-from millrace.sinks.base import Sink, local
+from millrace.sinks.base import Sink, join_parquet, local, remove
 from millrace.sources.base import Source
 
 FIRST, NORMAL, LAST = 0, 50, 100
@@ -84,13 +86,16 @@ def merge_files(parts: list[str], target: str) -> None:
     name = target.removesuffix(".gz").removesuffix(".zst")
     packed = name != target
     if name.endswith(".parquet"):
-        import pyarrow.dataset as ds
-        import pyarrow.parquet as pq
-
-        data = ds.dataset(parts)
-        with pq.ParquetWriter(f"{target}.merging", data.schema) as out:
-            for batch in data.to_batches():
-                out.write_batch(batch)
+        if not join_parquet(SparkSession.builder.getOrCreate(), [f"file://{os.path.abspath(p)}" for p in parts], f"file://{os.path.abspath(target)}.merging"):
+            import pyarrow.dataset as ds
+            import pyarrow.parquet as pq
+
+            data = ds.dataset(parts)
+            with pq.ParquetWriter(f"{target}.merging", data.schema) as out:
+                for batch in data.to_batches():
+                    out.write_batch(batch)
+        folder, name = os.path.split(f"{target}.merging")
+        remove(os.path.join(folder, f".{name}.crc"))
     elif name.endswith((".arrow", ".ipc", ".feather")):
         import pyarrow as pa
 

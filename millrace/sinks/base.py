@@ -18,7 +18,7 @@ def part_path(path: str, part: int) -> str:
 
 
 class Sink:
-    """single: one file at exactly the path, written by one task; else a folder of part files, written in parallel.
+    """single: one file at exactly the path, joined from what tasks write in parallel; else a folder of part files, written in parallel.
 
     fieldnames choose and order the columns; names that a record lacks are null.
     """
@@ -66,7 +66,8 @@ def make_parent(path: str) -> None:
 
 
 def write_single(df: DataFrame, path: str, kind: str, options: dict) -> None:
-    """One file at path, written by one task beside it and renamed when it is complete."""
+    """One file at path: parts that tasks write in parallel beside it, joined in their order by the driver, which copies
+    bytes and holds none of them, and renamed when it is complete."""
     make_parent(path)
     if options.get("compression") == "zstd":  # Spark writes no text in it; the one file is packed as a stream
         plain = f"{path}.{uuid.uuid4().hex}.text"
@@ -74,14 +75,24 @@ def write_single(df: DataFrame, path: str, kind: str, options: dict) -> None:
         _pack(local(plain), local(path))
         return
     beside = f"{path}.{uuid.uuid4().hex}"
-    df.coalesce(1).write.format(kind).options(**options).save(beside)
-    fs = hadoop(df, beside)
-    jvm = df.sparkSession._jvm
-    parts = [f.getPath() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(beside)) if f.getPath().getName().startswith("part-")]
+    fs, jvm = hadoop(df, path), df.sparkSession._jvm
+    header = options.get("header", False)
+    df.write.format(kind).options(**(options | {"header": False} if header else options)).save(f"{beside}/parts")
+    parts = _parts(fs, jvm, f"{beside}/parts")
+    if header:
+        df.limit(0).write.format(kind).options(**options).save(f"{beside}/header")
+        parts = [*_parts(fs, jvm, f"{beside}/header"), *parts]
+    whole = f"{beside}/whole"
+    if len(parts) == 1:
+        fs.rename(jvm.org.apache.hadoop.fs.Path(parts[0]), jvm.org.apache.hadoop.fs.Path(whole))
+    elif kind == "parquet":
+        join_parquet(df.sparkSession, parts, whole)
+    elif parts:
+        _join_bytes(df.sparkSession, fs, parts, whole)
     at = jvm.org.apache.hadoop.fs.Path(path)
     old = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.old")
     replaced = bool(parts) and fs.exists(at) and fs.rename(at, old)
-    if parts and not fs.rename(parts[0], at):
+    if parts and not fs.rename(jvm.org.apache.hadoop.fs.Path(whole), at):
         if replaced:
             fs.rename(old, at)
         raise OSError(f"{path} can't be put in place")
@@ -97,6 +108,25 @@ def write_single(df: DataFrame, path: str, kind: str, options: dict) -> None:
             os.remove(crc)
 
 
+def _parts(fs, jvm, folder: str) -> list[str]:
+    """The part files in the order of their tasks."""
+    files = [f.getPath() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder)) if f.getPath().getName().startswith("part-")]
+    return [p.toString() for p in sorted(files, key=lambda p: int(p.getName().split("-")[1].partition(".")[0]))]
+
+
+def _join_bytes(spark: SparkSession, fs, parts: list[str], target: str) -> None:
+    """Text, or members of a packed file, one after the other."""
+    jvm = spark._jvm
+    out = fs.create(jvm.org.apache.hadoop.fs.Path(target))
+    try:
+        for p in parts:
+            file = fs.open(jvm.org.apache.hadoop.fs.Path(p))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(file, out, spark._jsc.hadoopConfiguration(), False)
+            file.close()
+    finally:
+        out.close()
+
+
 def join_parquet(spark: SparkSession, parts: list[str], target: str) -> bool:
     """A file of the row groups of all parts in their order, copied as they are; False if the parts' columns differ, and nothing is written."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -201,6 +201,25 @@ def test_many_row_groups(spark, tmp_path):
     assert m.ParquetSource(at, row_groups=[]).frame(spark).count() == 0 and [r.a for r in m.ParquetSource(at, row_groups=[-1, -1]).frame(spark).collect()] == list(range(29990, 30000))
 
 
+def test_single_files_are_written_in_parallel(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    df = spark.range(0, 4000, 1, 4).withColumn("at", F.spark_partition_id())
+    at = str(tmp_path / "a.parquet")
+    m.ParquetSink(at, single=True).write(df)
+    assert row_group_rows(at) == [1000] * 4 and pq.read_table(at)["id"].to_pylist() == list(range(4000))
+    m.PipeManager.parallelize(m.Pipe(m.ParquetSource(at), m.ParquetSink(str(tmp_path / "b.parquet"), single=True), spark=spark), 3).run()
+    assert pq.read_table(tmp_path / "b.parquet")["id"].to_pylist() == list(range(4000)) and sorted(x.name for x in tmp_path.iterdir()) == ["a.parquet", "b.parquet"]
+    assert m.ParquetSource(str(tmp_path / "b.parquet")).frame(spark).dtypes == df.dtypes
+    want = "id,at\n" + "".join(f"{i},{i // 1000}\n" for i in range(4000))
+    m.CsvSink(str(tmp_path / "a.csv")).write(df)
+    m.CsvSink(str(tmp_path / "a.csv.gz")).write(df)
+    m.CsvSink(str(tmp_path / "none.csv")).write(df.filter("id < 0"))
+    m.JsonSink(str(tmp_path / "a.jsonl"), format="jsonl").write(df)
+    assert (tmp_path / "a.csv").read_text() == want == gzip.open(tmp_path / "a.csv.gz", "rt").read() and (tmp_path / "none.csv").read_text() == "id,at\n"
+    assert [x["id"] for x in lines(tmp_path / "a.jsonl")] == list(range(4000)) and m.CsvSource(str(tmp_path / "a.csv.gz")).frame(spark).count() == 4000
+
+
 def test_sqlite(spark, tmp_path):
     uri = f"sqlite:{tmp_path}/deep/a.db"
     df = spark.createDataFrame([("1", "al", None), ("2", "bo", "x")], "id string, name string, note string")
